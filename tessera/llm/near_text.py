@@ -1,0 +1,85 @@
+"""Near-duplicate texts: SimHash candidates through Golay keys, verified on whole five-word shingle sets."""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.simhash import SEED, _keyed, _keys_two_near, _vote
+from tessera.llm.text import map_batches, raw_texts, shingles, words
+from tessera.operators.components import connected_components
+from tessera.plans.stage import materialize, release
+
+
+def two_fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id_col; fp of the set of words; fp2 of the set of k-word shingles; n, its size; h1, h2: the words' sequence."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols: list[list[int]] = [[], [], [], [], []]
+        for t in raw_texts(batch.column(1)):
+            ws = words(t)
+            both = []
+            for parts in (set(ws), set(shingles(ws, k))):
+                both.append(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), np.uint64, len(parts)))
+            line = xxhash.xxh3_128_digest(b" ".join(ws))
+            for c, v in zip(cols, (_vote(both[0]), _vote(both[1]), len(both[1]), int.from_bytes(line[:8], "big", signed=True), int.from_bytes(line[8:], "big", signed=True)), strict=True):
+                c.append(v)
+        return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, "fp", "fp2", "n", "h1", "h2"])
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} long, fp long, fp2 long, n long, h1 long, h2 long")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (src, dst) of ids whose shingle sets are at least that similar; only the texts of paired ids move."""
+    ids = pairs.select(F.col("src").alias("i")).union(pairs.select(F.col("dst"))).distinct()
+    texts = materialize(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(ids, "i", "left_semi").groupBy("i").agg(F.min("t").alias("t")), "paired-texts")
+    both = pairs.join(texts.select(F.col("i").alias("src"), F.col("t").alias("a")), "src").join(texts.select(F.col("i").alias("dst"), F.col("t").alias("b")), "dst")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        good = []
+        for a, b in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
+            x, y = set(shingles(words(a), k)), set(shingles(words(b), k))
+            both_ = len(x & y)
+            good.append(both_ >= similarity * (len(x) + len(y) - both_) - 1e-9)
+        return batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    out = materialize(map_batches(both.select("src", "dst", "a", "b"), run, "src long, dst long"), "verified-pairs")
+    release(texts)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 13, bits2: int = 22, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) of every id in a group of two or more texts that are linked, exact copies included.
+
+    Texts of equal word sequences are one. Of different ones, candidates share a key (an index of each of two segments
+    of the word SimHash: two segments with two errors each, or often more), differ in at most ``bits`` and ``bits2`` of
+    the two fingerprints and in size no more than the similarity allows, and are verified exactly. A key that more than
+    ``crowd`` texts hold links them to the one of least hash instead of emitting all pairs: members of a large group
+    meet that text under many keys, and every row takes part. Texts without words and null ids link with nothing.
+    """
+    fps = materialize(two_fingerprints(docs, k, id_col, text_col).where(f"n > 0 AND {id_col} IS NOT NULL"), "two-fingerprints")
+    reps = materialize(fps.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n")).select("rep", "fp", "fp2", "n"), "text-classes")
+    keyed = materialize(_keyed(reps.select("rep", "fp"), _keys_two_near, "rep").select("key", "rep"), "near-keys")
+    order = F.xxhash64(F.col("rep"))
+    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "rep")).alias("lead")).where("m > 1")
+    shared = materialize(keyed.join(held, "key").select("key", "rep", "m", F.col("lead.rep").alias("lead")), "near-shared")
+    few = shared.where(F.col("m") <= crowd).select("key", "rep")
+    cold = few.alias("a").join(few.alias("b"), "key").where("a.rep < b.rep").select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
+    hot = shared.where((F.col("m") > crowd) & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("src"), F.greatest("rep", "lead").alias("dst"))
+    info = reps.select("rep", "fp", "fp2", "n")
+    cand = cold.union(hot).distinct()
+    for end in ("src", "dst"):
+        cand = cand.join(info.select(F.col("rep").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("fp", "fp2", "n"))), end)
+    close = (F.bit_count(F.col("fp_src").bitwiseXOR(F.col("fp_dst"))) <= bits) & (F.bit_count(F.col("fp2_src").bitwiseXOR(F.col("fp2_dst"))) <= bits2)
+    sized = F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * similarity - 1e-9
+    pairs = materialize(cand.where(close & sized).select("src", "dst"), "near-candidates")
+    edges = verify(pairs, docs, k, similarity, id_col, text_col)
+    same = fps.alias("f").join(fps.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.count("*").alias("c")).where("c > 1"), ["h1", "h2"]).select(F.col("rep").alias("src"), F.col(f"f.{id_col}").alias("dst"))
+    out = materialize(connected_components(edges.union(same)), "near-components")
+    release(fps, reps, keyed, shared, pairs, edges)
+    return out.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))

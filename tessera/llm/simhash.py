@@ -7,9 +7,8 @@ codeword indices that its neighbours decode to; segments that differ in two bits
   untouched (pigeonhole), so a key is one exact segment and one index of the next segment. Fingerprints that share a key
   are compared. A key that many fingerprints hold emits no pairs: there each fingerprint joins the words one bit around
   it, and fingerprints that meet at a word are at most two bits apart, so a star per word links exactly the same ones.
-* :func:`near_duplicates` — texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more. Such texts
-  differ in more bits, so keys pair the indices of two segments, candidates are compared by two fingerprints, and what
-  remains is verified on whole shingle sets.
+
+:mod:`tessera.llm.near_text` uses keys of two segments for texts that differ in more bits.
 """
 
 from __future__ import annotations
