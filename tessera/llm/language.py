@@ -7,6 +7,7 @@ probability is the sum over every way to cut it into pieces (forward algorithm),
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -141,7 +142,7 @@ def identify(docs: DataFrame, model: PieceModel, id_col: str = "doc_id", text_co
     and 0 where the text is null or has no letter, or no language was learned. Whole texts are scored, however long.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.pieces, np.array(model.p).T))
-    key = str(shared.id)
+    key = uuid.uuid4().hex
     keep = keep or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -93,7 +93,7 @@ r(rule, rhost, rpath, verdict) AS (VALUES ('com/en/', 'com', '/en/', 'block'), (
     ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'), ('org/es/', 'org', '/es/', 'block')),
 b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN r
       ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
-SELECT p.page_id, host, path, b.rule, coalesce(b.verdict, CASE WHEN regexp_matches(lower(host || path), '(^|[./_-])(casino|porn|viagra|xxx)([./_-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, host, path, b.rule, coalesce(b.verdict, CASE WHEN regexp_matches(lower(host || path), '(^|[./_-])(casino|porn|viagra|xxx|spam|ads|track)([./_-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN b USING (page_id)"""
 
 WARC_SQL = """

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from itertools import groupby
@@ -271,7 +272,7 @@ _MEMO: dict[str, tuple] = {}
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
     """id_col, the columns to keep (and the text), score, predicted for every row; a text without words has the score of no evidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    key, keep = str(shared.id), keep or []
+    key, keep = uuid.uuid4().hex, keep or []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if key not in _MEMO:
