@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import raw_texts
+from tessera.llm.text import parts, raw_texts
 from tessera.plans.stage import materialize, release
 
-MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 400_000, 400_000
+MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 400_000, 250_000
 PIECES = "bucket long, kind int, payload binary"
 #: No word holds a space, so these are no word's keys.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
@@ -71,13 +71,13 @@ def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays, their bytes by place and compressed; a sorted first array as differences."""
-    parts = []
+    out = []
     for n, a in enumerate(arrays):
         if n == 0 and a.dtype == np.uint64 and len(a):
             a = np.concatenate([a[:1], np.diff(a)])
         raw = zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
-        parts += [np.array([len(raw), len(a), ord(a.dtype.char)], np.int64).tobytes(), raw]
-    return b"".join(parts)
+        out += [np.array([len(raw), len(a), ord(a.dtype.char)], np.int64).tobytes(), raw]
+    return b"".join(out)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -125,9 +125,7 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
     labels = bucket_labels(spark, buckets)
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if not batch.num_rows:
-                continue
+        for batch in (x for b in it for x in parts(b)):
             h, w, _ = tokens(raw_texts(batch.column(0)))
             rows = []
             uk, uc, _ = summed(w, np.ones(len(w), np.uint32))
@@ -311,8 +309,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
 
     def events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for s in range(0, batch.num_rows, 4000):
-                part = batch.slice(s, 4000)
+            for part in parts(batch):
                 texts = raw_texts(part.column(1))
                 h, w, doc = tokens(texts)
                 n = len(texts)
@@ -337,7 +334,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
                 for b, kind, k, d in rows:
                     # text numbers within the piece
                     own, inv = np.unique(d, return_inverse=True)
-                    out.append((labels[b], kind + 3, pack(k, inv.astype(np.uint16), hashes[own], ids[own], null[own].astype(np.uint8))))
+                    out.append((labels[b], kind + 3, pack(k, inv.astype(np.uint32), hashes[own], ids[own], null[own].astype(np.uint8))))
                 yield pieces(out)
 
     def add(sums: np.ndarray, kind: int, d: np.ndarray, value: np.ndarray, c: np.ndarray, unk: float, logn: float) -> None:
@@ -348,7 +345,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
             sums[1] += np.bincount(d, np.log10(c + 1.0) - logn, n)
 
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {1: [], 2: []}
+        held: dict[int, list] = {1: [], 2: []}
         tables: dict[int, tuple] = {}
         names = ["doc", "hash", "n_rows", "n_tokens", "n_known", "base", "score"]
 
@@ -358,10 +355,10 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
         for batch in it:
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind < 3:
-                    parts[kind].append(unpack(payload))
+                    held[kind].append(unpack(payload))
                     continue
                 if not tables:
-                    for t, got in parts.items():
+                    for t, got in held.items():
                         cat = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.uint64 if i == 0 else float) for i in range(3)]
                         o = np.argsort(cat[0])
                         tables[t] = tuple(c[o] for c in cat)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Java's \\s without Unicode classes is exactly space, \\t, \\n, \\v, \\f, \\r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of texts that a Python worker looks at together.
+PART = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,13 +45,21 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def parts(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes, a row at least; no slice has no rows."""
+    n = max(1, -(-batch.nbytes // most))
+    step = max(1, -(-batch.num_rows // n))
+    for s in range(0, batch.num_rows, step):
+        yield batch.slice(s, step)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn``: one Arrow batch to one; batches stream, so a task holds one at a time."""
+    """``fn``: one Arrow batch to one; batches stream in parts of about PART bytes, so a task holds one at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if batch.num_rows:
-                yield fn(batch)
+            for part in parts(batch):
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 
