@@ -24,10 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import parts, raw_texts
+from tessera.llm.text import PART, parts, raw_texts
 from tessera.plans.stage import materialize, release
 
-MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 400_000, 250_000
+MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 300_000, 150_000
 PIECES = "bucket long, kind int, payload binary"
 #: No word holds a space, so these are no word's keys.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
@@ -309,7 +309,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
 
     def events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in parts(batch):
+            for part in parts(batch, PART // 2):
                 texts = raw_texts(part.column(1))
                 h, w, doc = tokens(texts)
                 n = len(texts)
@@ -321,6 +321,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
                     at, found = look_up(k, head)
                     add(sums, kind, d[found], head[1][at[found]], head[2][at[found]], unk, logn)
                     k, d = k[~found], d[~found]
+                    del order, at, found
                     edge = cuts(k, buckets)
                     rows += [(b, kind, k[x:y], d[x:y]) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y]
                 ids = part.column(0).to_numpy(zero_copy_only=False)
