@@ -135,6 +135,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__gone", s["i"]))
     cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    joined = docs.join(gone.withColumnRenamed("doc", "__doc"), F.col(id_col) == F.col("__doc"), "left")
+    # a merge join at any size: what is deleted grows with the documents
+    joined = docs.join(gone.withColumnRenamed("doc", "__doc").hint("merge"), F.col(id_col) == F.col("__doc"), "left")
     joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)))
     return joined.withColumn(text_col, cut).drop("__gone", "__doc")
