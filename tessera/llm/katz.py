@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for n, a in enumerate(arrays):
         if n == 0 and a.dtype == np.uint64 and len(a):
             a = np.concatenate([a[:1], np.diff(a)])
-        raw = zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+        raw = zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes())
         out += [np.array([len(raw), len(a), ord(a.dtype.char)], np.int64).tobytes(), raw]
     return b"".join(out)
 
@@ -290,13 +291,13 @@ def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray])
     return at, table[0][at] == keys
 
 
-def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """id_col, n_tokens, n_known, base_score, score for every row; repeated rows keep their number, null ids are kept.
 
     A text's score is the sum over its tokens of alpha(h) p(w), plus a gain for each kept bigram, which is the recursion
-    p(w | h) -> p(w) -> unknown written as sums that are gathered by key.
+    p(w | h) -> p(w) -> unknown written as sums that are gathered by key. What a bucket adds to the texts of a slice goes
+    back to that slice as one piece, and there is one row out for each row in.
     """
-    del keep
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = bucket_labels(spark, buckets)
@@ -308,37 +309,33 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
     alpha0 = model.start_alpha
 
     def events(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a slice of texts is named by its place, which a repeated task finds again
+        origin, slices = TaskContext.get().partitionId() << 32, 0
         for batch in it:
             for part in parts(batch, PART // 2):
                 texts = raw_texts(part.column(1))
                 h, w, doc = tokens(texts)
                 n = len(texts)
-                rows = []
-                sums = np.zeros((3, n))
+                name = np.array([origin + slices], np.int64)
+                slices += 1
+                rows, sums = [], np.zeros((3, n))
                 for kind, key, head in ((1, w, heads.value[0]), (2, bigram_keys(h, w), heads.value[1])):
                     order = np.argsort(key)
                     k, d = key[order], doc[order]
                     at, found = look_up(k, head)
-                    add(sums, kind, d[found], head[1][at[found]], head[2][at[found]], unk, logn)
+                    add(sums, kind, d[found], head[1][at[found]], head[2][at[found]])
                     k, d = k[~found], d[~found]
                     del order, at, found
                     edge = cuts(k, buckets)
-                    rows += [(b, kind, k[x:y], d[x:y]) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y]
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                null = np.array([i is None for i in part.column(0).to_pylist()]) if part.column(0).null_count else np.zeros(n, bool)
-                ids = np.where(null, 0, ids).astype(np.int64)
-                hashes = np.array([xxhash.xxh64_intdigest(t or b"") for t in texts], np.uint64)
-                size = np.bincount(doc, minlength=n)
-                # START has no p, END no alpha: END is predicted once and START is a history once in every text
-                first = np.full(n, alpha0)
-                out = [(labels[(int(hashes[0])) % buckets], 3, pack(hashes * np.uint64(0), hashes, ids, null.astype(np.uint8), size.astype(np.int64), sums[0], sums[1], sums[2] + first))]
-                for b, kind, k, d in rows:
-                    # text numbers within the piece
-                    own, inv = np.unique(d, return_inverse=True)
-                    out.append((labels[b], kind + 3, pack(k, inv.astype(np.uint32), hashes[own], ids[own], null[own].astype(np.uint8))))
-                yield pieces(out)
-
-    def add(sums: np.ndarray, kind: int, d: np.ndarray, value: np.ndarray, c: np.ndarray, unk: float, logn: float) -> None:
+                    rows += [(labels[b], kind + 3, pack(k[x:y], d[x:y].astype(np.uint32), name)) for b, (x, y) in enumerate(zip(edge, edge[1:], strict=False)) if x < y]
+                ids = np.array([0 if i is None else i for i in part.column(0).to_pylist()], np.int64)
+                null = part.column(0).is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+                # START is a history once in every text
+                sums[2] += alpha0
+                rows.append((labels[slices % buckets], 3, pack(name, ids, null, np.bincount(doc, minlength=n), *sums)))
+                yield pieces(rows)
+
+    def add(sums: np.ndarray, kind: int, d: np.ndarray, value: np.ndarray, c: np.ndarray) -> None:
         n = sums.shape[1]
         sums[2] += np.bincount(d, value, n)
         if kind == 1:
@@ -348,44 +345,60 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
     def gather(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: []}
         tables: dict[int, tuple] = {}
-        names = ["doc", "hash", "n_rows", "n_tokens", "n_known", "base", "score"]
-
-        def rows(hashes, ids, null, n_rows, n_tokens, sums) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(ids, mask=null.astype(bool)), pa.array(hashes.view(np.int64)), pa.array(n_rows), pa.array(n_tokens), *map(pa.array, sums)], names=names)
-
         for batch in it:
+            out = []
             for kind, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind < 3:
                     held[kind].append(unpack(payload))
                     continue
+                if kind == 3:
+                    out.append((int(unpack(payload)[0][0]), 0, payload))
+                    continue
                 if not tables:
                     for t, got in held.items():
                         cat = [np.concatenate([g[i] for g in got]) if got else np.zeros(0, np.uint64 if i == 0 else float) for i in range(3)]
                         o = np.argsort(cat[0])
                         tables[t] = tuple(c[o] for c in cat)
                         got.clear()
-                got = unpack(payload)
-                if kind == 3:
-                    _, hashes, ids, null, size, *sums = got
-                    yield rows(hashes, ids, null, np.ones(len(ids), np.int64), size, sums)
-                    continue
-                k, d, hashes, ids, null = got
-                at, found = look_up(k, tables[kind - 3])
-                sums = np.zeros((3, len(ids)))
+                k, d, name = unpack(payload)
                 t = tables[kind - 3]
-                add(sums, kind - 3, d[found], t[1][at[found]], t[2][at[found]], unk, logn)
+                at, found = look_up(k, t)
+                own, d = np.unique(d, return_inverse=True)
+                sums = np.zeros((3, len(own)))
+                add(sums, kind - 3, d[found], t[1][at[found]], t[2][at[found]])
                 if kind == 4:  # unknown words
-                    n = np.bincount(d[~found], minlength=len(ids))
+                    n = np.bincount(d[~found], minlength=len(own))
                     sums[1] -= n * logn
                     sums[2] += n * unk
-                zero = np.zeros(len(ids), np.int64)
-                if sums.any():
-                    yield rows(hashes, ids, null, zero, zero, list(sums))
+                used = sums.any(axis=0)
+                if used.any():
+                    out.append((int(name[0]), 1, pack(own[used], *sums[:, used])))
+            if out:
+                yield pieces(out)
+
+    def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, null, size, sums = None, None, None, None, None
+
+        def rows() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(ids, mask=null.astype(bool)), pa.array(size), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in it:
+            for name, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    if now is not None:
+                        yield rows()
+                    now = name
+                    _, ids, null, size, *three = unpack(payload)
+                    sums = np.array(three)
+                else:
+                    own, *more = unpack(payload)
+                    sums[:, own] += np.array(more)
+        if now is not None:
+            yield rows()
 
     tail = _table_pieces(uni.where(F.col("c") < floors[0]), 1, buckets, labels).union(_table_pieces(big.where(F.col("c") < floors[1]), 2, buckets, labels))
     told = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(events, PIECES)
     met = tail.union(told).repartition(buckets, "bucket").sortWithinPartitions("kind")
-    sums = met.mapInArrow(gather, "doc long, hash long, n_rows long, n_tokens long, n_known double, base double, score double")
-    per = sums.groupBy("doc", "hash").agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_tokens", "n_known", "base", "score")))
-    each = per.select("doc", *((F.col(c) / F.col("n_rows")).alias(c) for c in ("n_tokens", "n_known", "base", "score")), F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))))
-    return each.select(F.col("doc").alias(id_col), F.round("n_tokens").cast("long").alias("n_tokens"), F.round("n_known").cast("long").alias("n_known"), F.col("base").alias("base_score"), "score")
+    back = met.mapInArrow(gather, PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    done = back.mapInArrow(finish, "doc long, n_tokens long, n_known long, base_score double, score double")
+    return done.withColumnRenamed("doc", id_col)
