@@ -116,7 +116,7 @@ def write_archives(chunks: DataFrame, planned: DataFrame, url_col: str | None =
                         out = None
                     if out is None:
                         path, n = f"{root}/{uuid.uuid4().hex}.warc.gz", 0
-                        out = fs.open_output_stream(path)
+                        out = fs.open_output_stream(path, compression=None)
                     zipped = zlib.compressobj(3, zlib.DEFLATED, 31)
                     out.write(zipped.compress(_head(rid, kind, cols[4][r].as_py(), cols[6][r].as_py(), cols[7][r].as_py(), cols[8][r].as_py())))
                     n += 1
@@ -184,7 +184,7 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
             for path, scheme in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, root = pafs.FileSystem.from_uri(f"{scheme}://{path}" if scheme else path)
                 rows, held = [], 0
-                with fs.open_input_stream(root) as raw:
+                with fs.open_input_stream(root, compression=None) as raw:
                     src = _Members(raw, 1 << 18)
                     while (first := src.line()) is not None:
                         if first != b"WARC/1.1":
