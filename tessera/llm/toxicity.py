@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 from itertools import groupby
 
 import numpy as np
@@ -171,7 +173,7 @@ def distinct_bags(bags: list[tuple[set, int]], hashes: int = 12, same: int = 4)
     return out
 
 
-def learn(rows: list[tuple[str, int]], landmarks: int = 240, seed: int = 5) -> Model:
+def learn(rows: Iterable[tuple[str, int]], landmarks: int = 240, seed: int = 5) -> Model:
     """``rows``: texts with label 0 or 1.
 
     Labels are of texts, so a toxic text is a bag of sentences, and it is unknown which are toxic. First witnesses are
@@ -181,7 +183,7 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 240, seed: int = 5) -> M
     empty = Model(np.zeros(SYMBOLS**3, np.float32), -1.0, 1.0, 0.0)
     bags: list[tuple[set, int]] = []
     for text, label in rows:
-        ws = {w for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3}
+        ws = {sys.intern(w) for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3}
         bags.append((ws, label))
     # copies of one text would make all its words look like witnesses
     bags = distinct_bags(bags)
@@ -251,7 +253,7 @@ def learn(rows: list[tuple[str, int]], landmarks: int = 240, seed: int = 5) -> M
     return Model(table, bias, 6.0, float(cuts[low[len(low) // 2]]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000) -> Model:
     """Learn from the labelled documents, of each label ``sample`` at most (the documented bound; least md5 of id).
 
     A document with several labels counts as the largest. Texts longer than 64 Ki characters are cut here alone.
@@ -262,11 +264,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not picked:
         return learn([])
     ids = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in picked], "id long, y int")
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 1 << 16).alias("t"), "y", "id").orderBy("id").collect()
-    return learn([(r["t"], r["y"]) for r in rows])
+    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 1 << 16).alias("t"), "y", "id").orderBy("id").toLocalIterator()
+    return learn((r["t"], r["y"]) for r in rows)
 
 
 _MEMO: dict[str, tuple] = {}
+#: Rates of a word of one letter, and of one that is too short to say anything.
+SINGLE, NOTHING = -3.0, -2.0
+
+
+def spelt_out(tokens: list[bytes], rates: list[float]) -> list[str]:
+    """Words made of three or more one-letter words in a row."""
+    out, at, n = [], 0, len(rates)
+    while at < n:
+        try:
+            at = rates.index(SINGLE, at)
+        except ValueError:
+            break
+        end = at + 1
+        while end < n and rates[end] == SINGLE:
+            end += 1
+        if end - at > 2:
+            out.append("".join(map(clean_word, tokens[at:end])))
+        at = end
+    return out
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
@@ -285,23 +306,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             part = texts[a : a + 512]
             if len(known) > CACHE:
                 known.clear()
-            distinct = [set(t) for t in part]
-            new = {t: w for d in distinct for t in d if t not in known and len(w := clean_word(t)) != 1}
-            known.update((t, -2.0) for t, w in new.items() if len(w) < 3)
+            new = {t: clean_word(t) for t in set().union(*part) - known.keys()}
+            known.update((t, SINGLE if len(w) == 1 else NOTHING) for t, w in new.items() if len(w) < 3)
             new = {t: w for t, w in new.items() if len(w) > 2}
             known.update(zip(new, (scores(list(new.values()), m.table) + m.bias).tolist(), strict=True))
-            spaced = {}
-            for i, t in enumerate(part):
-                # runs of single letters
-                if sum(x not in known for x in t) > 2:
-                    spaced[i] = [w for w in clean_words(b" ".join(t)) if len(w) > 2]
-            joined = sorted({w for v in spaced.values() for w in v})
-            rate = dict(zip(joined, (scores(joined, m.table) + m.bias).tolist(), strict=True)) if joined else {}
-            for i, d in enumerate(distinct):
-                best = max((known[t] for t in d if t in known), default=-2.0)
-                if i in spaced:
-                    best = max([best, *(rate[w] for w in spaced[i])])
-                out.append(m.probability(best))
+            for t in part:
+                rates = list(map(known.__getitem__, t))
+                best = max(rates, default=NOTHING)
+                if rates.count(SINGLE) > 2:
+                    joined = [w for w in spelt_out(t, rates)]
+                    if joined:
+                        best = max(best, float(scores(joined, m.table).max()) + m.bias)
+                out.append(m.probability(max(best, NOTHING)))
         pred = [int(s >= 0.5) for s in out]
         head = batch.columns if with_text else batch.columns[:-1]
         names = [id_col, *keep, *([text_col] if with_text else [])]
