@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import PART, parts, raw_texts
+from tessera.llm.text import PART, give_back, parts, raw_texts
 from tessera.plans.stage import materialize, release
 
 MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 300_000, 150_000
@@ -126,7 +126,7 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
     labels = bucket_labels(spark, buckets)
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in it for x in parts(b)):
+        for batch in (x for b in it for x in parts(b, PART // 2)):
             h, w, _ = tokens(raw_texts(batch.column(0)))
             rows = []
             uk, uc, _ = summed(w, np.ones(len(w), np.uint32))
@@ -142,6 +142,10 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
                     idx = idx.astype(np.uint32)
                     rows.append((labels[b], 2, pack(vocab, idx[: e - s], idx[e - s :], bc[s:e])))
             yield pieces(rows)
+            del h, w, uk, uc, key, bk, bc, first, rows
+            give_back()
+        _IDS.clear()
+        give_back()
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uni, big = [], []
@@ -170,6 +174,8 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
             for s in range(0, len(c), 65536):
                 e = min(len(c), s + 65536)
                 yield pa.record_batch([pa.array(np.full(e - s, n, np.int32)), pa.array(h[s:e]), pa.array(w[s:e]), pa.array(c[s:e])], names=["ord", "h", "w", "c"])
+        del uni, big, out
+        give_back()
 
     return texts.select(F.col(text_col).cast("string")).mapInArrow(split, PIECES).repartition(buckets, "bucket").mapInArrow(merge, "ord int, h long, w long, c long")
 
@@ -249,38 +255,39 @@ def _head_floor(counts: DataFrame) -> int:
     return floor
 
 
-def _values(df: DataFrame, big: bool) -> DataFrame:
-    """key, value, c: what a unigram (alpha + p) or bigram (gain) adds to a text's log10 score."""
-    if big:
+def _keyed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, values, counts of a batch of :func:`_values`."""
+    h, w = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+    big = b.column(4).to_numpy(zero_copy_only=False)
+    return np.where(big, bigram_keys(h, w), w), b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False)
 
-        def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                h, w = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-                yield pa.record_batch([pa.array(bigram_keys(h, w).view(np.int64)), b.column(3), b.column(2)], names=["key", "value", "c"])
 
-        return df.select("h", "w", "c", "gain").mapInArrow(keyed, "key long, value double, c long")
-    return df.select(F.col("w").alias("key"), (F.col("log_alpha") + F.log10("p")).alias("value"), "c")
+def _values(df: DataFrame, big: bool) -> DataFrame:
+    """h, w, value, c, big: what a unigram (alpha + p) or bigram (gain) adds to a text's log10 score."""
+    h, value = (F.col("h"), F.col("gain")) if big else (F.lit(0).cast("long"), F.col("log_alpha") + F.log10("p"))
+    return df.select(h.alias("h"), "w", value.alias("value"), "c", F.lit(big).alias("big"))
 
 
 def _table_pieces(values: DataFrame, kind: int, buckets: int, labels: list[int]) -> DataFrame:
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            k = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(k):
+            if not b.num_rows:
                 continue
+            k, v, c = _keyed(b)
             o = np.argsort(k)
-            k, v, c = k[o], b.column(1).to_numpy(zero_copy_only=False)[o], b.column(2).to_numpy(zero_copy_only=False)[o]
+            k, v, c = k[o], v[o], c[o]
             at = cuts(k, buckets)
             yield pieces([(labels[i], kind, pack(k[s:e], v[s:e], c[s:e])) for i, (s, e) in enumerate(zip(at, at[1:], strict=False)) if s < e])
+        give_back()
 
     return values.mapInArrow(split, PIECES)
 
 
 def _head(values: DataFrame, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = values.where(F.col("c") >= floor).toArrow()
-    k = rows.column(0).to_numpy().view(np.uint64)
+    got = [_keyed(b) for b in values.where(F.col("c") >= floor).toArrow().to_batches()]
+    k, v, c = (np.concatenate([g[i] for g in got]) if got else np.zeros(0, t) for i, t in enumerate((np.uint64, float, np.int64)))
     o = np.argsort(k)
-    return k[o], rows.column(1).to_numpy()[o], rows.column(2).to_numpy()[o]
+    return k[o], v[o], c[o]
 
 
 def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -334,6 +341,10 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
                 sums[2] += alpha0
                 rows.append((labels[slices % buckets], 3, pack(name, ids, null, np.bincount(doc, minlength=n), *sums)))
                 yield pieces(rows)
+                del texts, h, w, doc, key, k, d, rows
+                give_back()
+        _IDS.clear()
+        give_back()
 
     def add(sums: np.ndarray, kind: int, d: np.ndarray, value: np.ndarray, c: np.ndarray) -> None:
         n = sums.shape[1]
@@ -375,6 +386,9 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
                     out.append((int(name[0]), 1, pack(own[used], *sums[:, used])))
             if out:
                 yield pieces(out)
+        held.clear()
+        tables.clear()
+        give_back()
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, null, size, sums = None, None, None, None, None

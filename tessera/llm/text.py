@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -53,6 +54,14 @@ def parts(batch: pa.RecordBatch, most: int = PART) -> Iterator[pa.RecordBatch]:
         yield batch.slice(s, step)
 
 
+def give_back() -> None:
+    """Hand freed memory of this worker back to the system: idle workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn``: one Arrow batch to one; batches stream in parts of about PART bytes, so a task holds one at a time."""
 
