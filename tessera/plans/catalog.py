@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scalar
-from tessera.operators import fuse, metrics, modelmap, retrieve
+from tessera.functions import facets, scalar
+from tessera.operators import evaluate, fuse, metrics, modelmap, retrieve
 from tessera.operators.aggregate import aggregate_annotations
-from tessera.operators.cluster import cluster_sets, jaccard_edges
+from tessera.operators.cluster import cluster_embeddings, cluster_sets, jaccard_edges
 from tessera.operators.components import connected_components
-from tessera.sources import writers
+from tessera.sources import star, writers
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -441,9 +441,9 @@ def components(spark, d):
     return connected_components(jaccard_edges(_sets(spark, d), 0.6, "exact"), "a", "b")
 
 
-def _clusters(spark: SparkSession, d: str) -> DataFrame:
+def _clusters(spark: SparkSession, d: str, method: str = "cc") -> DataFrame:
     sets = _sets(spark, d).groupBy("idx").agg(F.array_sort(F.collect_list(F.col("element").cast("string"))).alias("items"))
-    return cluster_sets(sets, "idx", "items", 0.5, 5, prefilter="exact")
+    return cluster_sets(sets, "idx", "items", 0.5, 5, prefilter="exact", method=method)
 
 
 @registered()
@@ -486,6 +486,113 @@ def anchor_first(spark, d):
     return j.select("event_id", F.coalesce("ko", "ec").alias("target"), hit.alias("method"), F.when(hit == "ko", 1.0).when(hit == "ec", 0.85).otherwise(0.0).alias("confidence"))
 
 
+@registered()
+def clusters_louvain(spark, d):
+    return _clusters(spark, d, "louvain")
+
+
+@registered()
+def clusters_label_prop(spark, d):
+    return _clusters(spark, d, "label_prop")
+
+
+@registered()
+def clusters_agglomerative(spark, d):
+    return _clusters(spark, d, "agglomerative")
+
+
+@registered()
+def clusters_hdbscan(spark, d):
+    return _clusters(spark, d, "hdbscan")
+
+
+@registered()
+def embedding_kmeans(spark, d):
+    return cluster_embeddings(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+# ---- facet texts, audit samples, comparison, star tables -------------------------------------------------------------
+
+
+def _cases(values: dict[str, str], key: str) -> str:
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
+@registered(f"""SELECT p_partkey, concat_ws(' ', 'EC ' || e, a || '.' || b || '.' || c || '.-', a || '.' || b || '.-.-', {_cases(facets.SUBCLASS_HINTS, "a || '.' || b")}, a || '.-.-.-', {_cases(facets.CLASS_NAMES, "a")}) AS text
+FROM (SELECT p_partkey, e, split_part(e, '.', 1) AS a, split_part(e, '.', 2) AS b, split_part(e, '.', 3) AS c FROM (SELECT p_partkey, {EC1} AS e FROM part))""")
+def ec_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", facets.ec_text(F.expr(EC1)).alias("text"))
+
+
+@registered("""SELECT p_partkey, trim(regexp_replace('alpha-' || p_name || '  betaomega ' || p_brand || '''', '\\s+', ' ', 'g')) AS name FROM part""")
+def norm_display(spark, d):
+    raw = F.concat(F.lit("α-"), "p_name", F.lit("　→βω \t "), "p_brand", F.lit("’ "))
+    return table(spark, d, "part").select("p_partkey", facets.norm_display(raw).alias("name"))
+
+
+ROLE = "CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' / ', p_brand) WHEN p_partkey % 5 = 1 THEN concat(p_name, ' @ ', p_brand, ' (EC 1.2.3.4)') WHEN p_partkey % 5 = 2 THEN '' WHEN p_partkey % 5 = 3 THEN concat(p_name, ' transporter') ELSE concat(p_name, ' hypothetical') END"
+
+
+@registered(f"""SELECT p_partkey, concat_ws(chr(10), 'Name: ' || CASE WHEN n = '' THEN 'P' || p_partkey ELSE n END, CASE WHEN contains(n, '(EC 1.2.3.4)') THEN 'EC: 1.2.3.4' END, CASE WHEN contains(n, ' / ') THEN 'Component activities: ' || replace(n, ' / ', '; ') END,
+CASE WHEN contains(n, ' @ ') THEN 'Moonlighting roles: ' || replace(n, ' @ ', '; ') END) AS text, CASE WHEN contains(n, 'hypothetical') THEN 'hypothetical' WHEN contains(n, 'transporter') THEN 'transporter' WHEN contains(n, ' / ') OR contains(n, ' @ ') THEN 'multifunction' ELSE 'single-function' END AS role_type
+FROM (SELECT p_partkey, trim({ROLE}) AS n FROM part)""")
+def role_facets(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.expr(ROLE).alias("n"))
+    return p.select("p_partkey", facets.role_text(F.concat(F.lit("P"), "p_partkey"), "n").alias("text"), facets.role_type("n").alias("role_type"))
+
+
+@registered(f"""SELECT p_partkey, concat_ws(chr(10), 'Name: ' || trim(p_name), 'Synonyms: ' || p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'Equation: ' || trim(p_type) END,
+'EC: ' || CASE WHEN {EC1} = {EC2} THEN {EC1} ELSE {EC1} || ', ' || {EC2} END, 'Pathway: ' || p_mfgr, 'KEGG reactions: R1, R2') AS text FROM part""")
+def reaction_facets(spark, d):
+    p = table(spark, d, "part")
+    definition = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("null")
+    text = facets.reaction_text("p_partkey", "p_name", definition, F.expr(EC2), ecs=F.array(F.expr(EC1)), pathways=F.array("p_mfgr", "p_mfgr"), kegg=F.array(F.lit("R1"), F.lit("R2")), synonyms=F.array(F.upper(F.trim("p_name")), F.lit(""), "p_brand"))
+    return p.select("p_partkey", text.alias("text"))
+
+
+@registered("""WITH r AS (SELECT o_orderkey AS query_id, CASE WHEN o_custkey % 12 <= 1 THEN '1' WHEN o_custkey % 12 <= 5 THEN '2-5' WHEN o_custkey % 12 <= 10 THEN '6-10' ELSE '11+' END AS gold_bucket FROM orders WHERE o_orderkey % 3 > 0 AND o_orderkey % 5 > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY gold_bucket ORDER BY md5('17:' || query_id), query_id) AS n FROM r) SELECT query_id, gold_bucket FROM k WHERE n <= 12""")
+def audit_sample(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("query_id"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("p1"), (F.col("o_orderkey") % 5 == 0).cast("int").alias("hits_10"), scalar.gold_bucket(F.col("o_custkey") % 12).alias("gold_bucket"))
+    return evaluate.stratified_sample(o, 50).select("query_id", "gold_bucket")
+
+
+@registered("""WITH p AS (SELECT l_orderkey AS query_id, l_partkey AS item_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY max(l_extendedprice) DESC, l_partkey) AS rank FROM lineitem GROUP BY 1, 2),
+g AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS item_id FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT p_partkey AS item_id, concat(p_size % 7, '.', p_partkey % 5, '.', p_size % 9) AS three FROM part),
+x AS (SELECT DISTINCT query_id, three FROM g JOIN c USING (item_id)), h AS (SELECT query_id FROM p JOIN g USING (query_id, item_id) WHERE rank <= 2 UNION SELECT query_id FROM p JOIN c USING (item_id) JOIN x USING (query_id, three) WHERE rank <= 2)
+SELECT query_id, (query_id IN (FROM h))::INT AS soft_hit FROM (SELECT DISTINCT query_id FROM g)""")
+def soft_hits(spark, d):
+    li = table(spark, d, "lineitem")
+    best = li.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id")).agg(F.max("l_extendedprice").alias("v"))
+    preds = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("v"), "item_id")))
+    gold = li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("item_id"))
+    codes = table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.array(F.expr(EC1)).alias("ecs"))
+    return evaluate.soft_hits(preds, gold, codes, 2)
+
+
+@registered()
+def bootstrap_ci(spark, d):
+    """Hits at 10 against the reciprocal rank of the same queries."""
+    return evaluate.bootstrap_ci(_per_query(spark, d), "hits_10", "rr")
+
+
+@registered()
+def weight_sweep(spark, d):
+    lab = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.col("label").alias("l"))
+    x = _axes(spark, d).join(lab.select(F.col("i").alias("query_id"), F.col("l").alias("ql")), "query_id").join(lab.select(F.col("i").alias("item_id"), F.col("l").alias("cl")), "item_id")
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "item_id"))
+    cands = x.select("query_id", pos.alias("pos"), F.coalesce(F.col("ql") == F.col("cl"), F.lit(False)).alias("hit"), *AXES)
+    weights, best = evaluate.sweep_weights(cands, AXES, "mrr")
+    return spark.createDataFrame([(k, v, best) for k, v in weights.items()], "axis string, weight double, score double")
+
+
+@registered(f"""WITH {ANN_SQL}, i AS (SELECT description, row_number() OVER (ORDER BY description) AS n FROM (SELECT DISTINCT description FROM k))
+SELECT printf('FREE:%08d', n) AS description_id, description, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, string_agg(DISTINCT term, ',' ORDER BY term) AS ontology_terms FROM k JOIN i USING (description) GROUP BY 1, 2""")
+def annotated_context(spark, d):
+    t = star.annotated_tables(_annotations(spark, d), "genome")
+    return star.description_context(t).select("description_id", "description", "genes", "sources", "ontology_terms")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.stage import materialize
+
 #: Suffixes and the column names that are tried, in this order.
 INPUT_FORMATS = {".csv": "csv", ".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet", ".txt": "txt"}
 ID_COLUMNS = ["id", "sso_id", "ko_id", "source_id", "query_id", "input_id"]
@@ -148,9 +150,12 @@ def parse_features(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Consecutive numbers in an order, from range-partitioned counts: no single task sorts all rows."""
+    """Consecutive numbers in an order, from range-partitioned counts: no single task sorts all rows.
+
+    The ranked parts are written once, as counting them in a second run could meet parts that were coalesced otherwise.
+    """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    local = materialize(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), "numbered")
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
     start = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__s"))
     return local.join(F.broadcast(start), "__p").withColumn(name, F.col("__r") + F.col("__s")).drop("__p", "__r", "__s")
