@@ -74,8 +74,8 @@ def stratified_sample(per_query: DataFrame, size: int = 50, misses_only: bool =
 def _first_hit(score) -> Column:
     """Rank of the best gold candidate of ``cands``, null without one; ties go to the earlier position."""
     keyed = F.transform("cands", lambda c: F.struct(score(c).alias("s"), (-c["pos"]).alias("p"), c["hit"].alias("hit")))
-    best = F.array_max(F.filter(keyed, lambda c: c["hit"]))
-    return F.when(best.isNotNull(), 1 + F.size(F.filter(keyed, lambda c: F.struct(c["s"], c["p"]) > F.struct(best["s"], best["p"]))))
+    ranked = F.transform(F.reverse(F.array_sort(keyed)), lambda c: c["hit"])
+    return F.nullif(F.array_position(ranked, True), F.lit(0).cast("long"))
 
 
 def sweep_weights(cands: DataFrame, initial: dict[str, float], metric: str = "hits_10", rounds: int = 2, grid: tuple[float, ...] = GRID, order: tuple[str, ...] = ORDER, depth: int = 100) -> tuple[dict[str, float], float]:

@@ -542,11 +542,11 @@ def role_facets(spark, d):
 
 
 @registered(f"""SELECT p_partkey, concat_ws(chr(10), 'Name: ' || trim(p_name), 'Synonyms: ' || p_brand, CASE WHEN p_partkey % 2 = 0 THEN 'Equation: ' || trim(p_type) END,
-'EC: ' || CASE WHEN {EC1} = {EC2} THEN {EC1} ELSE {EC1} || ', ' || {EC2} END, 'Pathway: ' || p_mfgr, 'KEGG reactions: R1, R2') AS text FROM part""")
+'EC: ' || CASE WHEN {EC1} = {EC2} THEN {EC1} ELSE {EC1} || ', ' || {EC2} END, 'Pathway: ' || p_type, 'KEGG reactions: R1, R2') AS text FROM part""")
 def reaction_facets(spark, d):
     p = table(spark, d, "part")
     definition = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("null")
-    text = facets.reaction_text("p_partkey", "p_name", definition, F.expr(EC2), ecs=F.array(F.expr(EC1)), pathways=F.array("p_mfgr", "p_mfgr"), kegg=F.array(F.lit("R1"), F.lit("R2")), synonyms=F.array(F.upper(F.trim("p_name")), F.lit(""), "p_brand"))
+    text = facets.reaction_text("p_partkey", "p_name", definition, F.expr(EC2), ecs=F.array(F.expr(EC1)), pathways=F.array("p_type", "p_type"), kegg=F.array(F.lit("R1"), F.lit("R2")), synonyms=F.array(F.upper(F.trim("p_name")), F.lit(""), "p_brand"))
     return p.select("p_partkey", text.alias("text"))
 
 

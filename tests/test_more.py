@@ -45,7 +45,10 @@ def test_cluster_methods(spark, method):
     got, rows = clusters(spark, two_groups(), threshold=0.2, cap=50, topk=50, method=method, prefilter="exact")
     if method in ("louvain", "label_prop", "agglomerative"):
         assert all(len({i[0] for i in c}) == 1 for c in got.values())
-    assert max(map(len, clusters(spark, two_groups(2), threshold=0.2, cap=5, method=method)[0].values())) <= 5
+
+
+def test_cluster_method_cap_and_name(spark):
+    assert max(map(len, clusters(spark, two_groups(2), threshold=0.2, cap=5, method="louvain")[0].values())) <= 5
     with pytest.raises(ValueError, match="unknown method"):
         clusters(spark, {"a": [1]}, method="kmodes")
 
