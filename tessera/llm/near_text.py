@@ -1,85 +1,170 @@
-"""Near-duplicate texts: SimHash candidates through Golay keys, verified on whole five-word shingle sets."""
+"""Near-duplicate texts: every pair of at least a given similarity of its word shingles, by exact prefix keys.
+
+Shingles stand in one order for all texts, common ones last. Two texts of Jaccard similarity s or more share a shingle
+among the first n - ceil(s n) + 1 of each, and from the first one that they share on each has enough left for the
+overlap that s asks for. So pairs that share a prefix shingle and pass the bounds of length and place hold all similar
+pairs, whatever the order is; it only decides how many others come along. They are verified on whole shingle sets.
+"""
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.simhash import SEED, _keyed, _keys_two_near, _vote
+from tessera.llm.simhash import SEED
 from tessera.llm.text import map_batches, raw_texts, shingles, words
 from tessera.operators.components import connected_components
 from tessera.plans.stage import materialize, release
 
+#: Rows (or a 16th of all, if more) whose shingles are counted to tell common ones, and how many of those are told apart.
+SAMPLE, COMMON = 20_000, 500_000
+
+
+def shingle_hashes(ws: list[bytes], k: int) -> np.ndarray:
+    got = set(shingles(ws, k))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), got), np.uint64, len(got)).view(np.int64)
+
+
+def common_shingles(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several texts hold, and in how many of the sample. Only the order depends on it."""
+    rows = docs.count()
+    share = min(1.0, max(SAMPLE, rows / 16) / max(rows, 1))
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < share * (1 << 20))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [shingle_hashes(words(t), k) for t in raw_texts(batch.column(0))]
+        s, c = np.unique(np.concatenate(got), return_counts=True)
+        return pa.record_batch([pa.array(s), pa.array(c.astype(np.int64))], names=["s", "c"])
+
+    seen = map_batches(some.select(F.col(text_col).cast("string").alias("t")), run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    counts = materialize(seen.where("c > 2"), "common-shingles")
+    have, floor = 0, 100_001
+    for r in counts.groupBy(F.least("c", F.lit(100_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect():
+        have += r["n"]
+        if have > COMMON:
+            break
+        floor = r["c"]
+    got = counts.where(F.col("c") >= floor).toArrow()
+    release(counts)
+    s, c = (got.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(s)
+    return s[order], c[order]
+
 
-def two_fingerprints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """id_col; fp of the set of words; fp2 of the set of k-word shingles; n, its size; h1, h2: the words' sequence."""
+def shingle_prefixes(docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """id_col; n, the size of the set of k-word shingles; h1, h2: the words' sequence; prefix: the first shingles in order."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k, id_col, text_col))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols: list[list[int]] = [[], [], [], [], []]
+        cols: list[list[int]] = [[], [], []]
+        first = []
+        s, c = common.value
         for t in raw_texts(batch.column(1)):
             ws = words(t)
-            both = []
-            for parts in (set(ws), set(shingles(ws, k))):
-                both.append(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), np.uint64, len(parts)))
+            own = shingle_hashes(ws, k)
+            rank = np.zeros(len(own), np.int64)
+            if len(s):
+                at = np.minimum(np.searchsorted(s, own), len(s) - 1)
+                rank = np.where(s[at] == own, c[at], 0)
+            n = len(own)
+            first.append(own[np.lexsort((own, rank))][: n - int(np.ceil(similarity * n - 1e-9)) + 1])
             line = xxhash.xxh3_128_digest(b" ".join(ws))
-            for c, v in zip(cols, (_vote(both[0]), _vote(both[1]), len(both[1]), int.from_bytes(line[:8], "big", signed=True), int.from_bytes(line[8:], "big", signed=True)), strict=True):
-                c.append(v)
-        return pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, "fp", "fp2", "n", "h1", "h2"])
+            for x, v in zip(cols, (n, int.from_bytes(line[:8], "big", signed=True), int.from_bytes(line[8:], "big", signed=True)), strict=True):
+                x.append(v)
+        ends = pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+        prefix = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first)))
+        return pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in cols), prefix], names=[id_col, "n", "h1", "h2", "prefix"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} long, fp long, fp2 long, n long, h1 long, h2 long")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)), run, f"{id_col} long, n long, h1 long, h2 long, prefix array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (src, dst) of ids whose shingle sets are at least that similar; only the texts of paired ids move."""
+    """Pairs (src, dst) of ids with near (shingle sets at least that similar) and far, their Jaccard distance; only the texts of paired ids move."""
     ids = pairs.select(F.col("src").alias("i")).union(pairs.select(F.col("dst"))).distinct()
     texts = materialize(docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).join(ids, "i", "left_semi").groupBy("i").agg(F.min("t").alias("t")), "paired-texts")
     both = pairs.join(texts.select(F.col("i").alias("src"), F.col("t").alias("a")), "src").join(texts.select(F.col("i").alias("dst"), F.col("t").alias("b")), "dst")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        good = []
+        near, far = [], []
+        of = lru_cache(8)(lambda t: set(shingles(words(t), k)))
         for a, b in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
-            x, y = set(shingles(words(a), k)), set(shingles(words(b), k))
+            x, y = of(a), of(b)
             both_ = len(x & y)
-            good.append(both_ >= similarity * (len(x) + len(y) - both_) - 1e-9)
-        return batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            all_ = len(x) + len(y) - both_
+            near.append(both_ >= similarity * all_ - 1e-9)
+            far.append(1 - both_ / all_)
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_()), pa.array(far, pa.float64())], names=["src", "dst", "near", "far"])
 
-    out = materialize(map_batches(both.select("src", "dst", "a", "b"), run, "src long, dst long"), "verified-pairs")
+    out = materialize(map_batches(both.select("src", "dst", "a", "b"), run, "src long, dst long, near boolean, far double"), "verified-pairs")
     release(texts)
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, bits: int = 13, bits2: int = 22, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _may_be_near(similarity: float, a: str, b: str) -> Column:
+    """Holds for the first shingle that two similar texts share: sizes allow the similarity, and so does what follows it."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sized = F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9
+    return sized & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= (n + m) * (similarity / (1 + similarity)) - 1e-6)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("a.rep", "b.rep").alias("src"), F.greatest("a.rep", "b.rep").alias("dst")).distinct()
+
+
+def _rest_of_crowds(hot: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of crowded keys that can still join two components.
+
+    Members of one component need no comparison, so those outside their leader's component meet all members of other
+    components. Jaccard distance is a metric: texts whose distances to the leader differ by more than 1 - similarity
+    are not similar.
+    """
+    comp = materialize(connected_components(known.where("near")), "crowd-components")
+    of = comp.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    led = comp.select(F.col("node").alias("lead"), F.col("component").alias("lead_c"))
+    far = known.select(F.col("src").alias("x"), F.col("dst").alias("y"), "far")
+    h = hot.withColumn("x", F.least("rep", "lead")).withColumn("y", F.greatest("rep", "lead")).join(far, ["x", "y"], "left").join(of, "rep", "left").join(led, "lead", "left")
+    far_ = F.when(F.col("rep") == F.col("lead"), 0.0).otherwise(F.col("far"))
+    h = materialize(h.select("key", "rep", "n", "pos", far_.alias("far"), F.coalesce("c", "rep").alias("c"), F.coalesce("lead_c", "lead").alias("lead_c")), "crowds")
+    apart = F.coalesce(F.abs(F.col("a.far") - F.col("b.far")) <= 1 - similarity + 1e-9, F.lit(True))
+    out = _pairs(h.where("c <> lead_c").alias("a").join(h.alias("b"), "key").where((F.col("a.c") != F.col("b.c")) & apart & _may_be_near(similarity, "a", "b")))
+    out = materialize(out.join(known, ["src", "dst"], "left_anti"), "crowd-pairs")
+    release(comp, h)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) of every id in a group of two or more texts that are linked, exact copies included.
 
-    Texts of equal word sequences are one. Of different ones, candidates share a key (an index of each of two segments
-    of the word SimHash: two segments with two errors each, or often more), differ in at most ``bits`` and ``bits2`` of
-    the two fingerprints and in size no more than the similarity allows, and are verified exactly. A key that more than
-    ``crowd`` texts hold links them to the one of least hash instead of emitting all pairs: members of a large group
-    meet that text under many keys, and every row takes part. Texts without words and null ids link with nothing.
+    Texts of equal word sequences are one. Different ones are linked if their shingle sets are at least that similar;
+    the groups are those of all such pairs. Where more than ``crowd`` texts hold a key, all are compared with the one of
+    least hash first, then whatever that leaves unsettled (:func:`_rest_of_crowds`). Texts without words and null ids
+    link with nothing.
     """
-    fps = materialize(two_fingerprints(docs, k, id_col, text_col).where(f"n > 0 AND {id_col} IS NOT NULL"), "two-fingerprints")
-    reps = materialize(fps.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n")).select("rep", "fp", "fp2", "n"), "text-classes")
-    keyed = materialize(_keyed(reps.select("rep", "fp"), _keys_two_near, "rep").select("key", "rep"), "near-keys")
-    order = F.xxhash64(F.col("rep"))
-    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(order.alias("o"), "rep")).alias("lead")).where("m > 1")
-    shared = materialize(keyed.join(held, "key").select("key", "rep", "m", F.col("lead.rep").alias("lead")), "near-shared")
-    few = shared.where(F.col("m") <= crowd).select("key", "rep")
-    cold = few.alias("a").join(few.alias("b"), "key").where("a.rep < b.rep").select(F.col("a.rep").alias("src"), F.col("b.rep").alias("dst"))
-    hot = shared.where((F.col("m") > crowd) & (F.col("rep") != F.col("lead"))).select(F.least("rep", "lead").alias("src"), F.greatest("rep", "lead").alias("dst"))
-    info = reps.select("rep", "fp", "fp2", "n")
-    cand = cold.union(hot).distinct()
-    for end in ("src", "dst"):
-        cand = cand.join(info.select(F.col("rep").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("fp", "fp2", "n"))), end)
-    close = (F.bit_count(F.col("fp_src").bitwiseXOR(F.col("fp_dst"))) <= bits) & (F.bit_count(F.col("fp2_src").bitwiseXOR(F.col("fp2_dst"))) <= bits2)
-    sized = F.least("n_src", "n_dst") >= F.greatest("n_src", "n_dst") * similarity - 1e-9
-    pairs = materialize(cand.where(close & sized).select("src", "dst"), "near-candidates")
-    edges = verify(pairs, docs, k, similarity, id_col, text_col)
+    fps = materialize(shingle_prefixes(docs, k, similarity, id_col, text_col).where(f"n > 0 AND {id_col} IS NOT NULL"), "shingle-prefixes")
+    reps = fps.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keyed = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "key"))
+    held = Window.partitionBy("key")
+    lead = F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).over(held)
+    met = keyed.withColumn("m", F.count("*").over(held)).withColumn("lead", lead).where("m > 1")
+    shared = materialize(met.select("key", "rep", "n", "pos", "m", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")), "shared-shingles")
+    few = shared.where(F.col("m") <= crowd).select("key", "rep", "n", "pos")
+    hot = shared.where(F.col("m") > crowd)
+    cold = _pairs(few.alias("a").join(few.alias("b"), "key").where((F.col("a.rep") < F.col("b.rep")) & _may_be_near(similarity, "a", "b")))
+    sized = F.least("n", "lead_n") >= F.greatest("n", "lead_n") * similarity - 1e-9
+    star = hot.where((F.col("rep") != F.col("lead")) & sized).select(F.least("rep", "lead").alias("src"), F.greatest("rep", "lead").alias("dst"))
+    pairs = materialize(cold.union(star).distinct(), "near-candidates")
+    known = verify(pairs, docs, k, similarity, id_col, text_col)
+    edges, more, late = known.where("near").select("src", "dst"), None, None
+    if hot.limit(1).count():
+        more = _rest_of_crowds(hot.select("key", "rep", "n", "pos", "lead"), known, similarity)
+        late = verify(more, docs, k, similarity, id_col, text_col)
+        edges = edges.union(late.where("near").select("src", "dst"))
     same = fps.alias("f").join(fps.groupBy("h1", "h2").agg(F.min(id_col).alias("rep"), F.count("*").alias("c")).where("c > 1"), ["h1", "h2"]).select(F.col("rep").alias("src"), F.col(f"f.{id_col}").alias("dst"))
     out = materialize(connected_components(edges.union(same)), "near-components")
-    release(fps, reps, keyed, shared, pairs, edges)
+    release(fps, shared, pairs, known, more, late)
     return out.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))

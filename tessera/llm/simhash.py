@@ -7,8 +7,6 @@ codeword indices that its neighbours decode to; segments that differ in two bits
   untouched (pigeonhole), so a key is one exact segment and one index of the next segment. Fingerprints that share a key
   are compared. A key that many fingerprints hold emits no pairs: there each fingerprint joins the words one bit around
   it, and fingerprints that meet at a word are at most two bits apart, so a star per word links exactly the same ones.
-
-:mod:`tessera.llm.near_text` uses keys of two segments for texts that differ in more bits.
 """
 
 from __future__ import annotations
@@ -75,20 +73,6 @@ def _keys_exact_and_near(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _keys_two_near(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and keys: an index of one segment with an index of another."""
-    seg = _segments(fp)
-    near = [near_indices(s, w) for s, (_, w) in zip(seg, SEGMENTS, strict=True)]
-    rows, keys = [], []
-    for i in range(3):
-        a, b = near[i], near[(i + 1) % 3]
-        key = (i << 24) | (a[:, :, None] << 12) | b[:, None, :]
-        at = np.nonzero((a[:, :, None] >= 0) & (b[:, None, :] >= 0))
-        rows.append(at[0])
-        keys.append(key[at])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def _keyed(df: DataFrame, make, id_col: str, extra: str = "") -> DataFrame:
     """Rows (key, id_col, fp, ...) of a table whose columns are id_col, fp and maybe more longs."""
     names = [id_col, "fp", *([extra] if extra else [])]

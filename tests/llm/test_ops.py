@@ -136,6 +136,32 @@ def test_near_duplicates(spark):
     assert near_text.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
+def brute_near(docs):
+    """Component of each id by comparing all pairs of shingle sets."""
+    sets = {i: set(text.shingles(text.words(t.encode()), 5)) for i, t in docs}
+    return brute_components(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+
+
+def near_wanted(spark, docs):
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    want = brute_near(docs)
+    assert {i: got.get(i, i) for i in want} == want
+    return want
+
+
+def test_near_crowd_of_unlike_texts(spark):
+    """Texts around a common passage crowd its keys; most pairs are not similar, and pairs without the leader are linked."""
+    rng = random.Random(11)
+    common = words(rng, 160, 10**6)
+    docs = []
+    for i in range(60):
+        docs.append((i, common + " " + words(rng, 24, 10**6)))
+    for i in range(20):
+        docs.append((100 + i, docs[20 + i][1] + " " + words(rng, 8 + i, 10**6)))
+    want = near_wanted(spark, docs)
+    assert 10 < len(set(want.values())) < 75
+
+
 # ---- URL rules
 
 
