@@ -162,6 +162,19 @@ def test_near_crowd_of_unlike_texts(spark):
     assert 10 < len(set(want.values())) < 75
 
 
+def test_near_appended_and_cut_copies(spark):
+    """Every pair at 0.8 or more is found, close to it as well."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(120):
+        n = rng.randrange(100, 900)
+        docs.append((i, words(rng, n, 10**5)))
+        more = int(n * rng.uniform(0.02, 0.27))
+        docs.append((1000 + i, docs[-1][1] + " " + words(rng, more, 10**5) if i % 2 else docs[-1][1].rsplit(" ", int(more * 0.8))[0]))
+    want = near_wanted(spark, docs)
+    assert 80 < sum(want[1000 + i] == i for i in range(120)) < 120
+
+
 # ---- URL rules
 
 
