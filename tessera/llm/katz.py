@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.text import PART, give_back, parts, raw_texts
 from tessera.plans.stage import materialize, release
 
-MIN_BIGRAM, GT_MAX, HEAD, CACHE = 2, 5, 300_000, 150_000
+MIN_BIGRAM, GT_MAX, HEAD, CACHE = 1, 5, 300_000, 150_000
 PIECES = "bucket long, kind int, payload binary"
 #: No word holds a space, so these are no word's keys.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")

@@ -74,3 +74,12 @@ def test_nothing_to_learn_from(spark):
     rows = katz.evaluate(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()
     assert [tuple(r) for r in rows] == [(1, 3, 0, 0.0, 0.0)]
     assert katz.evaluate(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_bigrams_seen_once_are_in_the_model(spark):
+    model = katz.train(spark.createDataFrame([(t,) for t in TEXTS[:8]], "text string"))
+    seen = Counter()
+    for t in TEXTS[:8]:
+        ws = [" start", *(t or "").lower().split(), " end"]
+        seen.update(zip(ws, ws[1:]))
+    assert Counter(r["c"] for r in model.big.select("c").collect()) == Counter(seen.values())
