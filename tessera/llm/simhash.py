@@ -7,16 +7,21 @@ codeword indices that its neighbours decode to; segments that differ in two bits
   untouched (pigeonhole), so a key is one exact segment and one index of the next segment. Fingerprints that share a key
   are compared. A key that many fingerprints hold emits no pairs: there each fingerprint joins the words one bit around
   it, and fingerprints that meet at a word are at most two bits apart, so a star per word links exactly the same ones.
+* :func:`near_duplicates` — texts of a given Jaccard similarity. At 0.8 a bit differs with probability 0.15, so a segment
+  has three errors and shares an index two times in three. An index alone has 4,096 values, which any corpus crowds;
+  each segment's indices are therefore split by a min-hash of the text's shingles, which texts agree on as often as they
+  are similar. NINE segments of three fingerprints, each with a min-hash of its own, miss a pair at 0.8 with probability
+  (1 - 0.8 * 0.64)^9 = 0.002, and unlike texts seldom meet however many there are. Pairs are verified on the texts.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.golay import near_indices
@@ -26,6 +31,9 @@ from tessera.plans.stage import materialize, release
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
+#: Near texts: fingerprints, bits of them that may differ (at 0.8: 29 expected, deviation 5), and words of the sketch that crowds are compared by.
+PRINTS, BITS, SKETCH = 3, 64, 8
+NINE = PRINTS * len(SEGMENTS)
 
 
 def _vote(hashes: np.ndarray) -> int:
@@ -121,3 +129,190 @@ def simhash_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text
     of_fp = named.join(lows, "root").select("fp", "component_id")
     release(edges)
     return fps.join(of_fp, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def set_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """XXH64 of each distinct k-word shingle, in no order."""
+    own = set(shingles(words(text), k))
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), own), np.uint64, len(own))
+
+
+def _odd(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _min_hashes(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n min-hashes of a set: the least of each of n remixings."""
+    mixed = (h ^ (h >> np.uint64(29)))[:, None] * _odd(n, seed)[None, :]
+    return (mixed ^ (mixed >> np.uint64(32))).min(axis=0)
+
+
+PRINT_COLUMNS, MIN_COLUMNS = [f"f{i}" for i in range(PRINTS)], [f"m{i}" for i in range(NINE)]
+
+
+def set_prints(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """id; n, the size of the text's shingle set; h1, h2: 128 bits of its word sequence; fingerprints and min-hashes of the set."""
+    mix = _odd(PRINTS, 7)
+    names = ["id", "n", "h1", "h2", *PRINT_COLUMNS, *MIN_COLUMNS]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = np.zeros((len(names) - 1, batch.num_rows), np.int64)
+        for r, t in enumerate(raw_texts(batch.column(1))):
+            h = set_hashes(t, k)
+            if len(h):
+                line = xxhash.xxh3_128_digest(b" ".join(words(t)))
+                out[:3, r] = len(h), *np.frombuffer(line, np.int64)
+                for i in range(PRINTS):
+                    x = h * mix[i]
+                    out[3 + i, r] = _vote(x ^ (x >> np.uint64(31)))
+                out[3 + PRINTS :, r] = _min_hashes(h, NINE, 11).view(np.int64)
+        return pa.record_batch([batch.column(0), *map(pa.array, out)], names=names)
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return map_batches(rows, run, ", ".join(f"{n} long" for n in names)).where("n > 0")
+
+
+def _keys_near_split(prints: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and keys: each index of each segment with the min-hash of that segment's number."""
+    rows, keys = [], []
+    for f in range(PRINTS):
+        for i, seg in enumerate(_segments(prints[f])):
+            s = f * len(SEGMENTS) + i
+            near = near_indices(seg, SEGMENTS[i][1])
+            at = np.nonzero(near >= 0)
+            key = mins[s][:, None].view(np.uint64) + (near + (s << 12)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ (key >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            rows.append(at[0])
+            keys.append((key ^ (key >> np.uint64(32)))[at].view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _near_keys(reps: DataFrame) -> DataFrame:
+    """(key, rep)"""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(1, 1 + PRINTS + NINE)]
+        rows, keys = _keys_near_split(cols[:PRINTS], cols[PRINTS:])
+        return pa.record_batch([pa.array(keys), batch.column(0).take(pa.array(rows))], names=["key", "rep"])
+
+    return map_batches(reps.select("rep", *PRINT_COLUMNS, *MIN_COLUMNS), run, "key long, rep long")
+
+
+def _sized(similarity: float, a: str, b: str) -> Column:
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9
+
+
+def _may_be_near(similarity: float, a: str, b: str) -> Column:
+    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in PRINT_COLUMNS), F.lit(0))
+    return _sized(similarity, a, b) & (apart <= BITS)
+
+
+def _pairs(joined: DataFrame, a: str = "a.rep", b: str = "b.rep") -> DataFrame:
+    return joined.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct()
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(i, t) of some ids, one row each."""
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.join(ids, "i", "left_semi").groupBy("i").agg(F.min("t").alias("t"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs (src, dst) of ids whose shingle sets are at least that similar; only the texts of paired ids move."""
+    ids = pairs.select(F.col("src").alias("i")).union(pairs.select(F.col("dst"))).distinct()
+    texts = materialize(_texts(docs, ids, id_col, text_col), "paired-texts")
+    both = pairs.join(texts.select(F.col("i").alias("src"), F.col("t").alias("a")), "src").join(texts.select(F.col("i").alias("dst"), F.col("t").alias("b")), "dst")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        near = []
+        of = lru_cache(8)(lambda t: set(shingles(words(t), k)))
+        for a, b in zip(raw_texts(batch.column(2)), raw_texts(batch.column(3)), strict=True):
+            x, y = of(a), of(b)
+            both_ = len(x & y)
+            near.append(both_ >= similarity * (len(x) + len(y) - both_) - 1e-9)
+        return pa.record_batch([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(near, pa.bool_()))
+
+    out = materialize(map_batches(both.select("src", "dst", "a", "b"), run, "src long, dst long"), "verified-pairs")
+    release(texts)
+    return out
+
+
+def _sketches(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """rep, s0 ...: one bit of each of 64 * SKETCH min-hashes. Bits of two texts differ half as often as (1 - J) says."""
+    names = [f"s{i}" for i in range(SKETCH)]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = np.zeros((batch.num_rows, SKETCH), np.int64)
+        for r, t in enumerate(raw_texts(batch.column(1))):
+            h, least = set_hashes(t, k), None
+            for a in range(0, len(h), 4096):  # a long text in parts
+                part = _min_hashes(h[a : a + 4096], 64 * SKETCH, 13)
+                least = part if least is None else np.minimum(least, part)
+            out[r] = np.packbits(np.bitwise_count(least) & 1).view(np.int64)
+        return pa.record_batch([batch.column(0), *map(pa.array, np.ascontiguousarray(out.T))], names=["rep", *names])
+
+    return map_batches(_texts(docs, ids, id_col, text_col), run, ", ".join(f"{n} long" for n in ["rep", *names]))
+
+
+def _rest_of_crowds(hot: DataFrame, near: DataFrame, tried: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (src, dst) of crowded keys that can still join two components.
+
+    Members of one component need no comparison, so those outside their leader's component meet all members of other
+    components. Sketches leave out what is surely less similar: a pair at the threshold differs in (1 - similarity) / 2
+    of the bits, and five standard deviations are allowed on top.
+    """
+    comp = materialize(connected_components(near), "crowd-components")
+    of = comp.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+    led = comp.select(F.col("node").alias("lead"), F.col("component").alias("lead_c"))
+    h = hot.join(of, "rep", "left").join(led, "lead", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("lead_c", "lead").alias("lead_c"))
+    h = materialize(h, "crowds")
+    open_ = h.where("c <> lead_c").select("key").distinct()
+    h = h.join(open_, "key", "left_semi")
+    marks = materialize(_sketches(docs, h.select(F.col("rep").alias("i")).distinct(), k, id_col, text_col), "crowd-sketches")
+    h = materialize(h.join(marks, "rep"), "crowds-open")
+    bits, p = 64 * SKETCH, (1 - similarity) / 2
+    apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    most = int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+    met = h.where("c <> lead_c").alias("a").join(h.alias("b"), "key").where((F.col("a.c") != F.col("b.c")) & _sized(similarity, "a", "b") & (apart <= most))
+    out = materialize(_pairs(met).join(tried, ["src", "dst"], "left_anti"), "crowd-pairs")
+    release(comp, marks, h)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) of every id in a group of two or more texts that are linked, exact copies included.
+
+    Texts of equal word sequences are one. Different ones are linked if their sets of k-word shingles (repeats and order
+    aside) are at least that similar; the groups are those of all links, named by their smallest id. ``crowd`` changes
+    the order of the work, not the result: where more texts hold a key, all are compared with one of them first, then
+    whatever that leaves unsettled (:func:`_rest_of_crowds`); that is all pairs of a crowd of unlike texts, as a test of
+    a few machine words each. Null and empty texts, those without words, and null ids link with nothing; a repeated id
+    stands with each of its texts, and the least of them is compared. Texts of any length are taken whole. An empty
+    table gives no rows; other columns are not read, whatever their names.
+    """
+    prints = materialize(set_prints(docs, k, id_col, text_col), "set-prints")
+    attrs = ["n", *PRINT_COLUMNS]
+    reps = materialize(prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"), *(F.first(x).alias(x) for x in (*attrs, *MIN_COLUMNS))), "set-reps")
+    keyed = _near_keys(reps)
+    # a leader for each key, the same for every order of rows: the least id after a mask that the key gives
+    mask = F.xxhash64("key")
+    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(mask)).alias("low")).where("m > 1").select("key", "m", F.col("low").bitwiseXOR(mask).alias("lead"))
+    shared = keyed.join(held, "key").join(reps.select("rep", *attrs), "rep")
+    shared = materialize(shared.select("key", "rep", "m", "lead", *attrs), "shared-keys")
+    few = shared.where(F.col("m") <= crowd).select("key", "rep", *attrs)
+    hot = shared.where(F.col("m") > crowd)
+    cold = _pairs(few.alias("a").join(few.alias("b"), "key").where((F.col("a.rep") < F.col("b.rep")) & _may_be_near(similarity, "a", "b")))
+    stars = hot.where("rep <> lead").select("rep", "lead", *attrs).distinct()
+    star = _pairs(stars.alias("a").join(reps.alias("b"), (F.col("a.lead") == F.col("b.rep")) & _may_be_near(similarity, "a", "b")))
+    tried = materialize(cold.union(star).distinct(), "near-candidates")
+    edges, more, late = verified(tried, docs, k, similarity, id_col, text_col), None, None
+    near = edges
+    if not hot.isEmpty():
+        more = _rest_of_crowds(hot.select("key", "rep", "n", "lead"), edges, tried, docs, k, similarity, id_col, text_col)
+        late = verified(more, docs, k, similarity, id_col, text_col)
+        near = edges.union(late)
+    copies = prints.select("id", "h1", "h2").join(reps.where("c > 1").select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("rep").alias("src"), F.col("id").alias("dst"))
+    out = connected_components(near.union(copies))
+    release(prints, reps, shared, tried, edges, more, late)
+    return out.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))

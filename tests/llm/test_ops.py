@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, language, line_dedup, mixing, near_text, projections, simhash, text, toxicity, url_rules, warc
+from tessera.llm import decontaminate, language, line_dedup, mixing, projections, simhash, text, toxicity, url_rules, warc
 
 DOC = "doc_id long, text string"
 
@@ -129,11 +129,11 @@ def test_near_duplicates(spark):
         ws = docs[28][1].split()
         ws[rng.randrange(len(ws))] = f"e{i}"
         copies.append((300 + i, " ".join(ws)))
-    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(spark.createDataFrame(docs + copies + [(900, None), (901, "")], DOC)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs + copies + [(900, None), (901, "")], DOC)).collect()}
     assert all(got.get(100 + i) == i for i in range(20)) and all(got[200 + i] == 29 for i in range(5))
     assert all(got[300 + i] == 28 for i in range(60))
     assert 25 not in got and 900 not in got
-    assert near_text.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
+    assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
 
 
 def brute_near(docs):
@@ -143,7 +143,7 @@ def brute_near(docs):
 
 
 def near_wanted(spark, docs):
-    got = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
     want = brute_near(docs)
     assert {i: got.get(i, i) for i in want} == want
     return want
