@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, line_dedup, mixing, near_text, toxicity
+from tessera.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from tessera.llm.queries import DOMAIN_SQL, table
 from tessera.plans.stage import materialize
 
@@ -31,7 +31,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    gone = near_text.near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
+    gone = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
