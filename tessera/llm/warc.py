@@ -18,7 +18,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.stage import fresh_path, materialize
+from tessera.plans.stage import fresh_path, materialize, release
 
 CHUNK = 1 << 20
 MIN_REVISIT = 100
@@ -26,12 +26,13 @@ MANIFEST = "path string, records long"
 
 
 def chunk_table(records: DataFrame, id_col: str, payload_col: str, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
-    """record_id, chunk_no, n_chunks, data. A null or empty payload is one empty chunk."""
+    """record_id, chunk_no, n_chunks, data, in order within a record. A null or empty payload is one empty chunk."""
     data = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
     rows = records.select(F.col(id_col).cast("long").alias("record_id"), *keep, data.alias("payload"))
     n = F.greatest(F.lit(1), F.ceil(F.length("payload") / chunk)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("chunk_no"), F.substring(F.col("payload"), i * chunk + 1, F.lit(chunk)).alias("data")))
-    return rows.select("record_id", *keep, n.alias("n_chunks"), F.explode(parts).alias("c")).select("record_id", *keep, "n_chunks", "c.chunk_no", "c.data")
+    # numbers are exploded, not chunks: a row's chunks are cut one after the other and never stand together
+    numbered = rows.select("record_id", *keep, "payload", n.alias("n_chunks"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    return numbered.select("record_id", *keep, "n_chunks", "chunk_no", F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("data"))
 
 
 def digests(chunks: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def digests(chunks: DataFrame) -> DataFrame:
 
 
 def plan_records(digested: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """Adds record_type and refers_to: among equal payloads of min_revisit bytes or more, the smallest id is the response."""
+    """Adds record_type and refers_to: among equal payloads of min_revisit bytes or more, the smallest record is the response."""
     firsts = digested.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("record_id").alias("low"))
     joined = digested.join(firsts, "payload_digest", "left")
     revisit = (F.col("payload_bytes") >= min_revisit) & (F.col("record_id") != F.col("low"))
@@ -100,15 +101,12 @@ def write_archives(chunks: DataFrame, planned: DataFrame, url_col: str | None =
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(base)
         fs.create_dir(root, recursive=True)
-        done, out, path, n, zipped, before = [], None, "", 0, None, None
+        done, out, path, n, zipped = [], None, "", 0, None
         for batch in it:
             cols = [batch.column(c) for c in range(9)]
             for r in range(batch.num_rows):
                 rid, no, last = cols[0][r].as_py(), cols[1][r].as_py(), cols[2][r].as_py()
                 kind = cols[5][r].as_py()
-                if (rid, no) == before:  # the chunk of a repeated row
-                    continue
-                before = (rid, no)
                 if no == 0:
                     if out is not None and n >= records_per_file:
                         out.close()
@@ -213,25 +211,43 @@ def read_chunks(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def archive(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str | None = "url", chunk: int = CHUNK) -> DataFrame:
-    """Write a record for each row, then report what the archives hold: one row for each record.
+    """Write a record for each row, then report what the archives hold: one row for each record, so one for each row.
 
-    Rows with a null id are left out: they have no record identifier. Of rows that repeat an id with equal payloads one
-    record is kept; with unlike payloads the declared digest fails and a ValueError says so. Ties among equal payloads
-    go to the smallest id.
+    Records are numbered by the page id. Where ids repeat or are null, rows are numbered in the order of their ids instead
+    (nulls last, rows of one id in an order of their payloads), and the numbered table is kept for the second reading; each
+    such row has its own record. Of equal payloads the least number is the response: ties go to the smallest id. Null and
+    empty payloads are empty records; payloads of any size pass in chunks. An empty table gives no rows; other columns are
+    not read, whatever their names. ValueError: a payload read back does not have its declared digest.
     """
-    keep = (url_col,) if url_col else ()
-    unique = pages.where(F.col(id_col).isNotNull()).select(id_col, payload_col, *keep)
-    chunks = chunk_table(unique, id_col, payload_col, chunk, keep)
-    planned = materialize(plan_records(digests(chunks).dropDuplicates(["record_id"])), "warc-plan")
-    back = read_chunks(write_archives(chunks, planned, url_col), chunk)
-    sums = digests(back).dropDuplicates(["record_id"])
-    heads = back.where("chunk_no = 0").select("record_id", "record_type", "refers_to", "declared").dropDuplicates(["record_id"])
+    url = [F.col(url_col).cast("string").alias("url")] if url_col else []
+    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(payload_col).cast("string").alias("payload"), *url)
+    keep = ("url",) if url_col else ()
+    odd = rows.groupBy("page").count().where("page IS NULL OR count > 1")
+    if odd.isEmpty():
+        named = None
+        rows = rows.withColumn("record", F.col("page"))
+    else:
+        order = [F.col("page").asc_nulls_last(), F.xxhash64("payload")]
+        named = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("record", F.monotonically_increasing_id()), "numbered-pages")
+        rows = named
+    chunks = chunk_table(rows, "record", "payload", chunk, keep)
+    planned = materialize(plan_records(digests(chunks)), "warc-plan")
+    manifest = write_archives(chunks, planned, "url" if url_col else None)
+    back = read_chunks(manifest, chunk)
+    sums = digests(back)
+    heads = back.where("chunk_no = 0").select("record_id", "record_type", "refers_to", "declared")
     found = materialize(heads.join(sums, "record_id"), "warc-read")
     bad = found.where("record_type = 'response' AND declared <> payload_digest").limit(1).count()
     if bad:
         raise ValueError("a payload does not have its declared digest")
     responses = found.where("record_type = 'response'").select(F.col("record_id").alias("rid"), F.col("payload_bytes").alias("of_response"))
-    return found.join(responses, found.refers_to == responses.rid, "left").select(
-        F.col("record_id").alias(id_col), F.coalesce("of_response", "payload_bytes").alias("payload_bytes"),
+    out = found.join(responses, found.refers_to == responses.rid, "left").select(
+        "record_id", F.coalesce("of_response", "payload_bytes").alias("payload_bytes"),
         F.col("declared").alias("payload_digest"), "record_type", "refers_to",
     )
+    release(planned)
+    if named is None:
+        return out.withColumnRenamed("record_id", id_col)
+    ids = named.select(F.col("record").alias("record_id"), F.col("page").alias(id_col))
+    of = named.select(F.col("record").alias("refers_to"), F.col("page").alias("of"))
+    return out.join(ids, "record_id").join(of, "refers_to", "left").select(id_col, "payload_bytes", "payload_digest", "record_type", F.col("of").alias("refers_to"))
