@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.text import free_name
 from tessera.plans.stage import materialize, release
 
 
@@ -115,27 +116,40 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=["doc", "at", "n", "a", "b"])
 
     runs = materialize(depth.join(per_doc, "doc").select("doc", "lines", "ranks").mapInArrow(run, "doc long, at long, n long, a long, b long"), "runs")
-    intervals = runs.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "at")).alias("low"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    # written, so that the join below has an exchange of its own on both sides, which AQE splits where an interval is hot
+    intervals = materialize(runs.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "at")).alias("low"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "intervals")
     later = runs.join(intervals, ["n", "a", "b"]).where(F.struct("doc", "at") != F.col("low"))
     gone = later.select("doc", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
     out = materialize(gone.join(first, ["doc", "at"]).select("doc", "line"), "deleted-lines")
-    release(*levels[1:], first, runs)
+    release(*levels[1:], first, runs, intervals)
     return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the text cut, and n_lines, n_deleted.
+    """All columns of ``docs`` with the text cut, and n_lines, n_deleted (with underscores after them where ``docs`` has such columns).
 
     A run of lines with ``min_words`` words or more that occurs before (in an earlier document, or earlier in the same
-    one) is deleted, overlaps included; lines without words are never compared nor deleted. Null and empty texts and
-    rows with a null id pass unchanged. Rows that repeat an id are one sequence per row only if ids are unique; with
-    repeated ids, a line number found in one of them is deleted from all. A text whose lines all go becomes ''.
+    one) is deleted, overlaps included; lines without words are never compared nor deleted. Documents stand in the order
+    of their ids; rows that repeat an id are documents of their own, in an order of their texts. Null and empty texts and
+    rows with a null id pass unchanged. A text whose lines all go becomes ''. Texts of any length are taken whole, an
+    empty table gives no rows, and other columns are carried along, whatever their names.
     """
-    gone = repeated_runs(docs, min_words, id_col, text_col).groupBy("doc").agg(F.collect_set("line").alias("__gone"))
-    lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("__gone", s["i"]))
-    cut = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    own = [free_name(docs.columns, n) for n in ("row", "gone", "doc", "lines")]
+    row, gone_col, doc, split_col = own
+    ids = docs.select(F.col(id_col).cast("long").alias(row)).where(F.col(row).isNotNull())
+    if ids.groupBy(row).count().where("count > 1").isEmpty():
+        rows = docs.withColumn(row, F.col(id_col).cast("long"))
+    else:  # number the rows, by id first, and keep the numbers
+        order = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
+        numbered = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.when(F.col(id_col).isNotNull(), F.monotonically_increasing_id()))
+        rows = materialize(numbered, "numbered-documents")
+    gone = repeated_runs(rows.select(row, text_col), min_words, row, text_col).groupBy(F.col("doc").alias(doc)).agg(F.collect_set("line").alias(gone_col))
+    lines = F.col(split_col)
+    # used twice, so that the split is a column of its own and not done anew for each line
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_col).cast("array<int>"))
+    cut = F.when(F.col(gone_col).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
     # a merge join at any size: what is deleted grows with the documents
-    joined = docs.join(gone.withColumnRenamed("doc", "__doc").hint("merge"), F.col(id_col) == F.col("__doc"), "left")
-    joined = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("n_deleted", F.coalesce(F.size("__gone"), F.lit(0)))
-    return joined.withColumn(text_col, cut).drop("__gone", "__doc")
+    joined = rows.join(gone.hint("merge"), F.col(row) == F.col(doc), "left").withColumn(split_col, F.split(F.col(text_col), "\n"))
+    n_lines, n_deleted = (free_name(docs.columns, n) for n in ("n_lines", "n_deleted"))
+    joined = joined.withColumn(n_lines, F.coalesce(F.size(lines), F.lit(0))).withColumn(n_deleted, F.coalesce(F.size(gone_col), F.lit(0)))
+    return joined.withColumn(text_col, cut).drop(*own)

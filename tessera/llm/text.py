@@ -62,6 +62,14 @@ def give_back() -> None:
         trim(0)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be no other column's."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn``: one Arrow batch to one; batches stream in parts of about PART bytes, so a task holds one at a time."""
 
