@@ -173,18 +173,27 @@ def distinct_bags(bags: list[tuple[set, int]], hashes: int = 12, same: int = 4)
     return out
 
 
-def learn(rows: Iterable[tuple[str, int]], landmarks: int = 240, seed: int = 5) -> Model:
-    """``rows``: texts with label 0 or 1.
+def learn(rows: Iterable[tuple[str, int]], **bounds: int) -> Model:
+    """:func:`learn_bags` of texts with label 0 or 1."""
+    return learn_bags(((bag_of(text), label) for text, label in rows), **bounds)
+
+
+def bag_of(text: str | None) -> set[str]:
+    """Words of three letters or more in the text's sentences."""
+    return {sys.intern(w) for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3}
+
+
+def learn_bags(rows: Iterable[tuple[set[str], int]], landmarks: int = 240, seed: int = 5, frequent_words: int = 3000, other_words: int = 4000, hard_words: int = 2500) -> Model:
+    """``rows``: sets of words of labelled texts.
 
     Labels are of texts, so a toxic text is a bag of sentences, and it is unknown which are toxic. First witnesses are
     the words of toxic texts' sentences whose share among them is far above that in clean texts; the machine trained on
     them rates all words of toxic texts that no clean text has, its best word of each text joins, and it is trained again.
+    Bounds of the training rows: ``frequent_words`` and ``other_words`` (drawn by ``seed``) words of clean texts, and in
+    each round the ``hard_words`` of them that score highest of all. Near copies of a text of the same label count once.
     """
     empty = Model(np.zeros(SYMBOLS**3, np.float32), -1.0, 1.0, 0.0)
-    bags: list[tuple[set, int]] = []
-    for text, label in rows:
-        ws = {sys.intern(w) for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3}
-        bags.append((ws, label))
+    bags = list(rows)
     # copies of one text would make all its words look like witnesses
     bags = distinct_bags(bags)
     toxic, clean = [b for b, y in bags if y == 1], [b for b, y in bags if y == 0]
@@ -203,9 +212,9 @@ def learn(rows: Iterable[tuple[str, int]], landmarks: int = 240, seed: int = 5)
     if not witness:
         witness = {max(b, key=lambda w: (odds[w], w)) for b in toxic if b}
     rng = np.random.default_rng(seed)
-    frequent = [w for w, _ in df0.most_common(3000)]
+    frequent = [w for w, _ in df0.most_common(frequent_words)]
     rest = sorted(set(df0) - set(frequent))
-    others = frequent + [rest[i] for i in rng.permutation(len(rest))[:4000]]
+    others = frequent + [rest[i] for i in rng.permutation(len(rest))[:other_words]]
     pos, table, bias = sorted(witness), empty.table, 0.0
     every, own_words = sorted(df0), sorted({w for b in toxic for w in b if not df0[w]})
     for step in range(4):
@@ -238,7 +247,7 @@ def learn(rows: Iterable[tuple[str, int]], landmarks: int = 240, seed: int = 5)
                         grown.add(best)
             # clean words that the machine takes for toxic are the most telling ones to learn next
             rated = scores(every, table) + bias
-            hard = [every[i] for i in np.argsort(-rated, kind="stable")[:2500]]
+            hard = [every[i] for i in np.argsort(-rated, kind="stable")[:hard_words]]
             others = list(dict.fromkeys(hard + others))
             pos = sorted(grown)
     uniq = sorted({w for b, _ in bags for w in b})
@@ -254,18 +263,31 @@ def learn(rows: Iterable[tuple[str, int]], landmarks: int = 240, seed: int = 5)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 2000) -> Model:
-    """Learn from the labelled documents, of each label ``sample`` at most (the documented bound; least md5 of id).
+    """Learn from the labelled rows, of each label ``sample`` at most (the documented bound).
 
-    A document with several labels counts as the largest. Texts longer than 64 Ki characters are cut here alone.
+    Ids are drawn by the least md5, then rows of those ids by the hash of their text, so that an id on many rows brings
+    no more. A document with several labels counts as the largest; null labels and ids, and labels without a document,
+    teach nothing; without any row nothing is toxic. Whole texts are learned; the driver gets their words, each once.
     """
-    one = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
-    order = F.md5(F.col(id_col).cast("string").cast("binary"))
+    one = labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y")).where("y IN (0, 1) AND i IS NOT NULL").groupBy("i").agg(F.max("y").alias("y"))
+    order = F.md5(F.col("i").cast("string").cast("binary"))
     picked = [r for y in (0, 1) for r in one.where(F.col("y") == y).orderBy(order).limit(sample).collect()]
     if not picked:
         return learn([])
-    ids = docs.sparkSession.createDataFrame([(r[0], int(r[1])) for r in picked], "id long, y int")
-    rows = docs.join(F.broadcast(ids), F.col(id_col) == F.col("id")).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, 1 << 16).alias("t"), "y", "id").orderBy("id").toLocalIterator()
-    return learn((r["t"], r["y"]) for r in rows)
+    ids = docs.sparkSession.createDataFrame([(r["i"], int(r["y"])) for r in picked], "i long, y int")
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(ids), "i").withColumn("o", F.xxhash64("t"))
+
+    def bags(it: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in it:
+            for i, y, o, t in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                yield pa.record_batch([pa.array([i]), pa.array([y], pa.int32()), pa.array([o]), pa.array([sorted(bag_of(t))], pa.list_(pa.string()))], names=["i", "y", "o", "ws"])
+
+    found = []
+    for y in (0, 1):
+        kept = rows.where(F.col("y") == y).select("i", "y", "o", "t").distinct().orderBy("o", "i").limit(sample)
+        found += kept.mapInArrow(bags, "i long, y int, o long, ws array<string>").collect()
+    return learn_bags(({sys.intern(w) for w in r["ws"]}, r["y"]) for r in sorted(found, key=lambda r: (r["i"], r["o"])))
 
 
 _MEMO: dict[str, tuple] = {}
@@ -291,7 +313,11 @@ def spelt_out(tokens: list[bytes], rates: list[float]) -> list[str]:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
-    """id_col, the columns to keep (and the text), score, predicted for every row; a text without words has the score of no evidence."""
+    """id_col, the columns to keep (and the text), score, predicted for every row, null and repeated ids included.
+
+    A null or empty text, or one without words, has the score of no evidence. Texts of any length are scored whole, an
+    empty table gives no rows, and other columns are not read, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key, keep = uuid.uuid4().hex, keep or []
 
