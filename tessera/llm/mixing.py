@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import map_batches, raw_texts
-from tessera.plans.stage import materialize
+from tessera.llm.text import words_column
+from tessera.plans.stage import materialize, release
 
 LEVELS = ("domain", "lang", "source")
 
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """id_col, the columns to keep, n_tokens: words of the whole text."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = [len(t.split()) if t else 0 for t in raw_texts(batch.column(batch.num_columns - 1))]
-        return pa.record_batch([*batch.columns[:-1], pa.array(n, pa.int64())], names=[id_col, *keep, "n_tokens"])
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.col(text_col).cast("string").alias("text")), run, f"{id_col} long, " + ", ".join(f"{k} string" for k in keep) + ", n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.size(words_column(F.col(text_col).cast("string"))).cast("long").alias("n_tokens"))
 
 
 def fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:
@@ -62,7 +56,9 @@ def mix(docs: DataFrame, domain: Column, total: float | None = None, max_epochs:
     md5(seed, epoch, id); it takes whole epochs while its budget holds them, then the prefix of the next one whose
     running token count stays within the budget. Documents without words cost nothing: they are taken once for each
     epoch begun ahead of them. Null domain, lang and source are nodes of their own, named ''. Rows with a null or a
-    repeated id are ordered by their id's hash together: equal ids of a leaf are taken or left as one.
+    repeated id are ordered by their id's hash together: equal ids of a leaf are taken or left as one. Null and empty
+    texts have no tokens, whole texts are counted, an empty table gives no rows, and other columns are not read,
+    whatever their names.
 
     Running counts are two-level sums: of (leaf, slice of the hash) first, then within a slice, so a leaf with most rows
     is spread over many tasks. Slices are about 2,000 documents of a leaf.
@@ -80,6 +76,7 @@ def mix(docs: DataFrame, domain: Column, total: float | None = None, max_epochs:
     keyed = counted.join(plan, list(LEVELS)).withColumn("order", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")))
     keyed = keyed.withColumn("slice", F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("slices")).cast("long"))
     keyed = materialize(keyed, "mix-order")
+    release(counted, leaves)
     slices = keyed.groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("in_slice"))
     ahead = slices.withColumn("ahead", F.coalesce(F.sum("in_slice").over(Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("in_slice")
     within = Window.partitionBy(*LEVELS, "slice").orderBy("order").rangeBetween(Window.unboundedPreceding, Window.currentRow)

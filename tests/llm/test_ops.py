@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -76,11 +77,26 @@ def test_line_dedup(spark, seed):
 
 def test_line_dedup_odd(spark):
     rows = line_dedup.dedup_lines(odd(spark)).collect()
-    assert len(rows) == 8 and {r["text"] for r in rows if r["doc_id"] == 6} == {""}
+    assert len(rows) == 8 and sorted(len(r["text"]) > 9 for r in rows if r["doc_id"] in (4, 6)) == [False, False, True]
     assert [r["text"] for r in rows if r["doc_id"] in (1, 2, 3)].count(None) == 1
     assert line_dedup.dedup_lines(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_line_dedup_repeated_ids(spark):
+    """Rows that share an id lose only lines that they themselves repeat."""
+    rng = random.Random(4)
+    run, own, other = ("\n".join(words(rng, 30, 9**6) for _ in range(3)) for _ in range(3))
+    df = spark.createDataFrame([(1, run), (2, run + "\n" + own), (2, other), (2, other + "\n" + own)], DOC)
+    got = Counter(r["text"] for r in line_dedup.dedup_lines(df).collect())
+    assert got in (Counter([run, own, other, ""]), Counter([run, other + "\n" + own, "", ""]))
+
+
+def test_line_dedup_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a\nb", 9, "x", 3, 4, 5)], "doc_id long, text string, n_lines int, gone string, row int, doc int, lines int")
+    got = line_dedup.dedup_lines(df).collect()[0].asDict()
+    assert got == {"doc_id": 1, "text": "a\nb", "n_lines": 9, "gone": "x", "row": 3, "doc": 4, "lines": 5, "n_lines_": 2, "n_deleted": 0}
+
+
 # ---- SimHash
 
 
@@ -198,6 +214,27 @@ def test_url_rules(spark):
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
 
 
+def test_url_literals():
+    assert url_rules.literal_tokens(r"(^|[./_-])casino([./_-]|$)") == ["casino"]
+    assert url_rules.literal_tokens(r"bet365") == ["*bet", "*et3", "*t36", "*365"]
+    assert url_rules.literal_tokens(r"/(wp-)?login\.php") == ["login", *url_rules.grams("php")] or url_rules.literal_tokens(r"/(wp-)?login\.php") == ["*log", "*ogi", "*gin", "*php"]
+    assert url_rules.literal_tokens(r"a|b") == [] and url_rules.literal_tokens(r"(?i)casino") == [] and url_rules.literal_tokens("(") == []
+    assert url_rules.literal_tokens(r"/(ad){2,}x+/") == []
+
+
+def test_url_patterns_by_token(spark):
+    """Any pattern is found through its tokens; an index without them finds nothing."""
+    patterns = [r"bet365", r"/(wp-)?login\.php", r"(^|[./_-])casino([./_-]|$)", r"[0-9]{6}", r"pill(s|z)?store", r"x+y+z"]
+    urls = [f"http://{h}.com/{p}" for h in ("mybet365x", "bet365", "shop", "casino", "casinos") for p in ("wp-login.php", "login.php", "login", "q/123456", "pillzstore1", "axxyyzb", "pilstore")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [url_rules.pattern_rule(p) for p in patterns]
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(df, rules).collect()}
+    want = {i: "block" if any(re.search(p, u.split("://")[1]) for p in patterns) else "allow" for i, u in enumerate(urls)}
+    assert got == want and len(set(want.values())) == 2
+    lost = [url_rules.Rule(r.rule, r.verdict, r.pattern, ("nosuchtoken",), False) for r in rules]
+    assert url_rules.judge(df, lost).where("verdict = 'block'").count() == 0
+
+
 # ---- language
 
 
@@ -265,16 +302,18 @@ def test_decontaminate(spark):
 
 def test_warc(spark):
     big = "é" * 5000
-    rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "x" * 50), (4, "u\r\nX: y", "x" * 50), (5, "u", None), (6, "u", ""), (-7, "u", "line\r\n\r\nWARC/1.1\r\n" * 20), (None, "u", "lost"), (2, "http://b", big)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in warc.archive(df, chunk=64).collect()}
-    assert sorted(got) == [-7, 1, 2, 3, 4, 5, 6]
-    for i, _, h in rows:
-        if i is not None:
-            data = (h or "").encode()
-            assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
-    assert [(got[i]["record_type"], got[i]["refers_to"]) for i in (1, 2, 3, 4)] == [("response", None), ("revisit", 1), ("response", None), ("response", None)]
-    assert warc.archive(spark.createDataFrame([], df.schema)).count() == 0
+    rows = [(1, "http://a", big), (2, "http://b", big), (3, None, "x" * 50), (4, "u\r\nX: y", "x" * 50), (5, "u", None), (6, "u", ""), (-7, "u", "line\r\n\r\nWARC/1.1\r\n" * 20)]
+    more = [(None, "u", "lost"), (2, "http://b", big), (2, "http://c", "z" * 300), (2, "http://c", "y" * 300), (None, "u", big)]
+    schema = "page_id long, url string, html string"
+    for extra in ([], more):
+        df = spark.createDataFrame(rows + extra, schema)
+        got = warc.archive(df, chunk=64).collect()
+        want = Counter((i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, _, h in rows + extra)
+        assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == want
+        types = {(i, r["record_type"], r["refers_to"]) for i in (1, 2, 3, 4) for r in got if r["page_id"] == i and r["payload_bytes"] != 300}
+        assert types == {(1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None)}
+    assert sum(r["record_type"] == "revisit" for r in got) == 3  # of big: 2, 2 and null
+    assert warc.archive(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_warc_files_are_standard(spark):
