@@ -32,8 +32,10 @@ from tessera.plans.stage import materialize, release
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 #: Near texts: fingerprints, bits of them that may differ (at 0.8: 29 expected, deviation 5), and words of the sketch that crowds are compared by.
-PRINTS, BITS, SKETCH = 3, 64, 8
+PRINTS, BITS, SKETCH = 3, 64, 32
 NINE = PRINTS * len(SEGMENTS)
+#: A mask that gives ids another order.
+ORDER = 0x2545F4914F6CDD1D
 
 
 def _vote(hashes: np.ndarray) -> int:
@@ -241,13 +243,14 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float, id_co
 def _sketches(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """rep, s0 ...: one bit of each of 64 * SKETCH min-hashes. Bits of two texts differ half as often as (1 - J) says."""
     names = [f"s{i}" for i in range(SKETCH)]
+    mix = _odd(64 * SKETCH, 13).astype(np.uint32)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = np.zeros((batch.num_rows, SKETCH), np.int64)
         for r, t in enumerate(raw_texts(batch.column(1))):
-            h, least = set_hashes(t, k), None
-            for a in range(0, len(h), 4096):  # a long text in parts
-                part = _min_hashes(h[a : a + 4096], 64 * SKETCH, 13)
+            h, least = set_hashes(t, k).astype(np.uint32), None
+            for a in range(0, len(h), 1024):  # a long text in parts
+                part = (h[a : a + 1024, None] * mix).min(axis=0)
                 least = part if least is None else np.minimum(least, part)
             out[r] = np.packbits(np.bitwise_count(least) & 1).view(np.int64)
         return pa.record_batch([batch.column(0), *map(pa.array, np.ascontiguousarray(out.T))], names=["rep", *names])
@@ -255,64 +258,74 @@ def _sketches(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
     return map_batches(_texts(docs, ids, id_col, text_col), run, ", ".join(f"{n} long" for n in ["rep", *names]))
 
 
-def _rest_of_crowds(hot: DataFrame, near: DataFrame, tried: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (src, dst) of crowded keys that can still join two components.
+def _open_keys(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """``shared`` with c and c_lead, the components so far of rep and lead; only keys whose members are in two or more."""
+    comp = materialize(connected_components(near), "near-components-so-far")
+    out = shared
+    for name, column in (("rep", "c"), ("lead", "c_lead")):
+        out = out.join(comp.select(F.col("node").alias(name), F.col("component").alias(column)), name, "left").withColumn(column, F.coalesce(column, name))
+    open_ = out.where("c <> c_lead").select("key").distinct()
+    out = materialize(out.join(open_, "key", "left_semi"), "open-keys")
+    release(comp)
+    return out
 
-    Members of one component need no comparison, so those outside their leader's component meet all members of other
-    components. Sketches leave out what is surely less similar: a pair at the threshold differs in (1 - similarity) / 2
-    of the bits, and five standard deviations are allowed on top.
-    """
-    comp = materialize(connected_components(near), "crowd-components")
-    of = comp.select(F.col("node").alias("rep"), F.col("component").alias("c"))
-    led = comp.select(F.col("node").alias("lead"), F.col("component").alias("lead_c"))
-    h = hot.join(of, "rep", "left").join(led, "lead", "left").select("key", "rep", "n", F.coalesce("c", "rep").alias("c"), F.coalesce("lead_c", "lead").alias("lead_c"))
-    h = materialize(h, "crowds")
-    open_ = h.where("c <> lead_c").select("key").distinct()
-    h = h.join(open_, "key", "left_semi")
-    marks = materialize(_sketches(docs, h.select(F.col("rep").alias("i")).distinct(), k, id_col, text_col), "crowd-sketches")
-    h = materialize(h.join(marks, "rep"), "crowds-open")
+
+def _alike(similarity: float) -> Column:
+    """Sketches of a and b leave the similarity open: at the threshold (1 - similarity) / 2 of their bits differ, and five
+    standard deviations are allowed on top."""
     bits, p = 64 * SKETCH, (1 - similarity) / 2
     apart = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    most = int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
-    met = h.where("c <> lead_c").alias("a").join(h.alias("b"), "key").where((F.col("a.c") != F.col("b.c")) & _sized(similarity, "a", "b") & (apart <= most))
-    out = materialize(_pairs(met).join(tried, ["src", "dst"], "left_anti"), "crowd-pairs")
-    release(comp, marks, h)
+    return apart <= int(bits * p + 5 * np.sqrt(bits * p * (1 - p)))
+
+
+def _stars(shared: DataFrame, reps: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of members and their leader."""
+    spokes = shared.where("rep <> lead").select("rep", "lead", "n", *PRINT_COLUMNS).distinct()
+    near = spokes.alias("a").join(reps.alias("b"), (F.col("a.lead") == F.col("b.rep")) & _may_be_near(similarity, "a", "b")).select("a.rep", "a.lead")
+    both = near.join(marks, "rep").alias("a").join(marks.alias("b"), (F.col("a.lead") == F.col("b.rep")) & _alike(similarity))
+    return _pairs(both)
+
+
+def _unsettled(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of open keys that can still join two components: members outside their leader's component meet
+    all members of other components."""
+    # a pair is made at the least of its keys alone; a text has at most 6 * NINE
+    keys = rows.groupBy("rep").agg(F.collect_set("key").alias("keys"))
+    marked = materialize(rows.select("key", "rep", "n", "c", "c_lead").join(marks.join(keys, "rep"), "rep"), "open-rows")
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")
+    met = marked.where("c <> c_lead").alias("a").join(marked.alias("b"), F.col("a.key") == F.col("b.key")).where((F.col("a.c") != F.col("b.c")) & _sized(similarity, "a", "b") & _alike(similarity) & once)
+    out = materialize(_pairs(met), "unsettled-pairs")
+    release(marked)
     return out
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) of every id in a group of two or more texts that are linked, exact copies included.
 
     Texts of equal word sequences are one. Different ones are linked if their sets of k-word shingles (repeats and order
-    aside) are at least that similar; the groups are those of all links, named by their smallest id. ``crowd`` changes
-    the order of the work, not the result: where more texts hold a key, all are compared with one of them first, then
-    whatever that leaves unsettled (:func:`_rest_of_crowds`); that is all pairs of a crowd of unlike texts, as a test of
-    a few machine words each. Null and empty texts, those without words, and null ids link with nothing; a repeated id
-    stands with each of its texts, and the least of them is compared. Texts of any length are taken whole. An empty
-    table gives no rows; other columns are not read, whatever their names.
+    aside) are at least that similar; the groups are those of all links, named by their smallest id. All that hold a key
+    are compared with one of them first, which settles most of a group of copies in time linear in its size; what is in
+    several components then (:func:`_unsettled`) is compared pair by pair, first by sketches of some machine words each.
+    Null and empty texts, those without words, and null ids link with nothing; a repeated id stands with each of its
+    texts, and the least of them is compared. Texts of any length are taken whole. An empty table gives no rows; other
+    columns are not read, whatever their names.
     """
     prints = materialize(set_prints(docs, k, id_col, text_col), "set-prints")
     attrs = ["n", *PRINT_COLUMNS]
     reps = materialize(prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("c"), *(F.first(x).alias(x) for x in (*attrs, *MIN_COLUMNS))), "set-reps")
     keyed = _near_keys(reps)
-    # a leader for each key, the same for every order of rows: the least id after a mask that the key gives
-    mask = F.xxhash64("key")
-    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(mask)).alias("low")).where("m > 1").select("key", "m", F.col("low").bitwiseXOR(mask).alias("lead"))
-    shared = keyed.join(held, "key").join(reps.select("rep", *attrs), "rep")
-    shared = materialize(shared.select("key", "rep", "m", "lead", *attrs), "shared-keys")
-    few = shared.where(F.col("m") <= crowd).select("key", "rep", *attrs)
-    hot = shared.where(F.col("m") > crowd)
-    cold = _pairs(few.alias("a").join(few.alias("b"), "key").where((F.col("a.rep") < F.col("b.rep")) & _may_be_near(similarity, "a", "b")))
-    stars = hot.where("rep <> lead").select("rep", "lead", *attrs).distinct()
-    star = _pairs(stars.alias("a").join(reps.alias("b"), (F.col("a.lead") == F.col("b.rep")) & _may_be_near(similarity, "a", "b")))
-    tried = materialize(cold.union(star).distinct(), "near-candidates")
-    edges, more, late = verified(tried, docs, k, similarity, id_col, text_col), None, None
-    near = edges
-    if not hot.isEmpty():
-        more = _rest_of_crowds(hot.select("key", "rep", "n", "lead"), edges, tried, docs, k, similarity, id_col, text_col)
-        late = verified(more, docs, k, similarity, id_col, text_col)
-        near = edges.union(late)
+    # a leader for each key: the least id in an order that all keys share, so that few texts lead a group
+    held = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("rep").bitwiseXOR(F.lit(ORDER))).alias("lead")).where("m > 1")
+    held = held.select("key", F.col("lead").bitwiseXOR(F.lit(ORDER)).alias("lead"))
+    shared = materialize(keyed.join(held, "key").join(reps.select("rep", *attrs), "rep"), "shared-keys")
+    marks = materialize(_sketches(docs, shared.select(F.col("rep").alias("i")).distinct(), k, id_col, text_col), "sketches")
+    pairs = materialize(_stars(shared, reps, marks, similarity), "star-pairs")
+    near = verified(pairs, docs, k, similarity, id_col, text_col)
+    rows, more, late = _open_keys(shared, near), None, None
+    if not rows.isEmpty():
+        more = _unsettled(rows, marks, similarity)
+        late = verified(more.join(pairs, ["src", "dst"], "left_anti"), docs, k, similarity, id_col, text_col)
     copies = prints.select("id", "h1", "h2").join(reps.where("c > 1").select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("rep").alias("src"), F.col("id").alias("dst"))
-    out = connected_components(near.union(copies))
-    release(prints, reps, shared, tried, edges, more, late)
+    out = connected_components(near.union(copies) if late is None else near.union(late).union(copies))
+    release(prints, reps, shared, marks, pairs, near, rows, more, late)
     return out.select(F.col("node").alias(id_col), F.col("component").alias("component_id"))
