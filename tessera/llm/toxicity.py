@@ -109,25 +109,34 @@ def scores(ws: list[str], table: np.ndarray) -> np.ndarray:
     return out
 
 
-def kernel(ws: list[str], marks: list[str]) -> np.ndarray:
-    """Kernel values, words x landmarks. The words' triples are listed once."""
-    codes, norm = encode(ws)
-    n = codes.shape[1] - SPAN
-    rows, cells, weights = [], [], []
-    for (j, k), wt in zip(OFFSETS, WEIGHTS, strict=True):
-        r, a = np.nonzero(codes[:, k : k + n])
-        rows.append(r)
-        cells.append(((codes[r, a] * SYMBOLS + codes[r, a + j]) * SYMBOLS + codes[r, a + k]).astype(np.int32))
-        weights.append(np.full(len(r), wt, np.float32))
-    row, cell, weight = np.concatenate(rows), np.concatenate(cells), np.concatenate(weights)
-    weight = weight / norm[row].astype(np.float32)
-    out = np.zeros((len(ws), len(marks)))
-    for m, word in enumerate(marks):
+def kernel(ws: list[str], marks: list[str], step: int = 2048) -> np.ndarray:
+    """Kernel values, words x landmarks, ``step`` words at a time. Only triples that some landmark has are listed."""
+    held, place = [], np.full(SYMBOLS**3, -1, np.int32)
+    for word in marks:
         t = np.zeros(SYMBOLS**3, np.float32)
         fold(word, t, 1.0)
-        at = t[cell]
-        hit = np.flatnonzero(at)
-        out[:, m] = np.bincount(row[hit], at[hit] * weight[hit], minlength=len(ws))
+        at = np.flatnonzero(t)
+        held.append((at, t[at]))
+    cells = np.unique(np.concatenate([at for at, _ in held])) if marks else np.zeros(0, np.int64)
+    place[cells] = np.arange(len(cells))
+    tables = np.zeros((len(marks), len(cells)), np.float32)
+    for m, (at, v) in enumerate(held):
+        tables[m, place[at]] = v
+    out = np.zeros((len(ws), len(marks)))
+    for s in range(0, len(ws), step):
+        codes, norm = encode(ws[s : s + step])
+        n = codes.shape[1] - SPAN
+        rows, ids, weights = [], [], []
+        for (j, k), wt in zip(OFFSETS, WEIGHTS, strict=True):
+            r, a = np.nonzero(codes[:, k : k + n])
+            i = place[(codes[r, a] * SYMBOLS + codes[r, a + j]) * SYMBOLS + codes[r, a + k]]
+            hit = i >= 0
+            rows.append(r[hit])
+            ids.append(i[hit])
+            weights.append(wt / norm[r[hit]])
+        row, id_, weight = (np.concatenate(x) for x in (rows, ids, weights))
+        for m in range(len(marks)):
+            out[s : s + len(codes), m] = np.bincount(row, tables[m][id_] * weight, minlength=len(codes))
     return out
 
 
@@ -286,8 +295,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     found = []
     for y in (0, 1):
         kept = rows.where(F.col("y") == y).select("i", "y", "o", "t").distinct().orderBy("o", "i").limit(sample)
-        found += kept.mapInArrow(bags, "i long, y int, o long, ws array<string>").collect()
-    return learn_bags(({sys.intern(w) for w in r["ws"]}, r["y"]) for r in sorted(found, key=lambda r: (r["i"], r["o"])))
+        # one row at a time: only distinct words stay
+        for r in kept.mapInArrow(bags, "i long, y int, o long, ws array<string>").toLocalIterator():
+            found.append((r["i"], r["o"], r["y"], {sys.intern(w) for w in r["ws"]}))
+    found.sort(key=lambda r: r[:2])
+    return learn_bags((ws, y) for _, _, y, ws in found)
 
 
 _MEMO: dict[str, tuple] = {}
