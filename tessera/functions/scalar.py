@@ -13,7 +13,7 @@ EC_OPEN = r"(\d+\.\d+\.\d+\.[\d-]+)"
 EC_INLINE = r"(?i)\s*\(?EC[:\s]*\d+\.\d+\.\d+\.[\d\-]+\)?"
 
 #: Fixed value: the namespace of cluster ids.
-CLUSTER_NAMESPACE = "6f6e746f6d6170636c75737465720001"
+CLUSTER_NAMESPACE = "6f6e746f-6d61-7063-6c75-737465720001"
 
 #: Descriptions that say nothing.
 TRIVIAL = [
@@ -149,7 +149,7 @@ def match_level(a: Column | str, b: Column | str) -> Column:
 
 def uuid5(key: Column | str) -> Column:
     """Name-based UUID (SHA-1) in the cluster namespace."""
-    h = F.sha1(F.concat(F.unhex(F.lit(CLUSTER_NAMESPACE)), F.encode(_c(key), "UTF-8")))
+    h = F.sha1(F.concat(F.unhex(F.lit(CLUSTER_NAMESPACE.replace("-", ""))), F.encode(_c(key), "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))))
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 19, 2), F.lit("-"), F.substring(h, 21, 12))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.stage import materialize
+from tessera.operators.numbering import number_rows
 
 #: Suffixes and the column names that are tried, in this order.
 INPUT_FORMATS = {".csv": "csv", ".tsv": "tsv", ".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "json", ".parquet": "parquet", ".txt": "txt"}
@@ -21,28 +21,17 @@ def input_format(path: str) -> str:
     raise ValueError(f"no input format for {path}")
 
 
-def guess_id_column(columns: list[str]) -> str:
-    low = {c.lower(): c for c in reversed(columns)}
-    return next((low[c] for c in ID_COLUMNS if c in low), columns[0])
+def pick_column(columns: list[str], known: list[str], requested: str | None = None, otherwise: str | None = None) -> str:
+    """The column asked for, whatever its case; if none is, the first known name that there is, else ``otherwise``.
 
-
-def guess_text_column(columns: list[str]) -> str:
-    low = {c.lower(): c for c in reversed(columns)}
-    for c in TEXT_COLUMNS:
-        if c in low:
-            return low[c]
-    raise ValueError(f"no text column. Available columns: {columns}")
-
-
-def resolve_column(requested: str | None, columns: list[str], guess) -> str:
-    if requested is None:
-        return guess(columns)
-    if requested in columns:
-        return requested
-    low = {c.lower(): c for c in reversed(columns)}
-    if requested.lower() in low:
-        return low[requested.lower()]
-    raise ValueError(f"column {requested!r} not found. Available columns: {columns}")
+    ValueError, with the names there are, where that leaves nothing.
+    """
+    by_name = {c.lower(): c for c in reversed(columns)} | {c: c for c in columns}
+    wanted = known if requested is None else [requested, requested.lower()]
+    found = [by_name[w] for w in wanted if w in by_name] + ([otherwise] if requested is None and otherwise else [])
+    if not found:
+        raise ValueError(f"{'text column' if requested is None else repr(requested)} not found. Available columns: {columns}")
+    return found[0]
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
@@ -69,10 +58,10 @@ def read_ids(spark: SparkSession, path: str, id_column: str | None = None, fmt:
             raise ValueError("expected a list of ids or of objects")
         if not names.where("startswith(id, '{')").isEmpty():
             df = read_table(spark, path, fmt)
-            return df.select(F.col(resolve_column(id_column, df.columns, guess_id_column)).cast("string").alias("id"))
+            return df.select(F.col(pick_column(df.columns, ID_COLUMNS, id_column, df.columns[0])).cast("string").alias("id"))
         return names
     df = read_table(spark, path, fmt)
-    column = "value" if fmt == "txt" else resolve_column(id_column, df.columns, guess_id_column)
+    column = "value" if fmt == "txt" else pick_column(df.columns, ID_COLUMNS, id_column, df.columns[0])
     return df.select(F.col(column).cast("string").alias("id"))
 
 
@@ -80,12 +69,13 @@ def read_descriptions(spark: SparkSession, path: str, text_column: str | None =
     """(id, description). Ids come from a named column alone; else, or where all are blank, they are FREE:00000001 on."""
     fmt = fmt or input_format(path)
     df = read_table(spark, path, fmt)
-    text = "value" if fmt == "txt" else resolve_column(text_column, df.columns, guess_text_column)
-    body = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("description"), (F.col(resolve_column(id_column, df.columns, guess_id_column)).cast("string") if id_column else F.lit(None).cast("string")).alias("id"))
+    text = "value" if fmt == "txt" else pick_column(df.columns, TEXT_COLUMNS, text_column)
+    body = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("description"), (F.col(pick_column(df.columns, ID_COLUMNS, id_column, df.columns[0])).cast("string") if id_column else F.lit(None).cast("string")).alias("id"))
     if id_column and not body.where("coalesce(id, '') <> ''").isEmpty():
         return body.select("id", "description")
-    numbered = body.rdd.zipWithIndex().map(lambda r: (f"FREE:{r[1] + 1:08d}", r[0][0]))
-    return numbered.toDF("id string, description string")
+    # rows of a file scan stand in its order, and so do the ids that grow with place in it
+    placed = body.select("description", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    return number_rows(placed, ["file", "at"]).select(F.format_string("FREE:%08d", F.col("n")).alias("id"), "description")
 
 
 def parse_aliases(text: Column | str) -> tuple[Column, Column]:
@@ -147,15 +137,3 @@ def parse_features(df: DataFrame) -> DataFrame:
         refs = F.filter("db_xrefs", lambda x, pattern=pattern: x.rlike(pattern))
         out.append((F.transform(refs, lambda x, pattern=pattern: F.regexp_replace(x, pattern, "")) if prefixes[0].endswith(":") else refs).alias(name))
     return f.select(*out)
-
-
-def number_rows(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
-    """Consecutive numbers in an order, from range-partitioned counts: no single task sorts all rows.
-
-    The ranked parts are written once, as counting them in a second run could meet parts that were coalesced otherwise.
-    """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = materialize(ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), "numbered")
-    sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    start = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__s"))
-    return local.join(F.broadcast(start), "__p").withColumn(name, F.col("__r") + F.col("__s")).drop("__p", "__r", "__s")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import TRIVIAL
 from tessera.operators.aggregate import aggregate_annotations
-from tessera.sources.readers import number_rows
+from tessera.operators.numbering import number_rows
 
 
 def annotated_tables(rows: DataFrame, genome_id: str, name: str | None = None, origin: str = "", drop_trivial: bool = True) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalar
-from tessera.operators import cluster, metrics
+from tessera.operators import cluster, metrics, numbering
 from tessera.operators.aggregate import aggregate_annotations
 from tessera.operators.components import connected_components
 from tessera.sources import readers, writers
@@ -51,15 +51,6 @@ def test_cluster_cap_topk_and_empty_sets(spark):
         cluster.cluster_sets(sets(spark, {"a": [1]}), "id", "items", cap=0)
 
 
-def test_cluster_hub(spark):
-    got, _ = clusters(spark, {f"q{i}": ["HUB", i % 50, i // 50 % 50 + 100] for i in range(3000)})
-    assert max(map(len, got.values())) <= 5
-
-
-def test_shared_floor():
-    assert cluster.shared_floor(0.3, 20) == 10 and cluster.shared_floor(0.3, 0) == 0
-
-
 def test_components_random(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(n, n + 1) for n in range(400, 440)] + [(5, 5), (None, 3)]
@@ -175,5 +166,5 @@ def test_predictions(spark):
 
 
 def test_number_rows(spark):
-    rows = readers.number_rows(spark.range(50).select((F.lit(49) - F.col("id")).alias("v")), ["v"]).collect()
+    rows = numbering.number_rows(spark.range(50).select((F.lit(49) - F.col("id")).alias("v")), ["v"]).collect()
     assert sorted((r["n"], r["v"]) for r in rows) == [(i + 1, i) for i in range(50)]
