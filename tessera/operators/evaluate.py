@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import hierarchy_match
+from tessera.operators import metrics
 from tessera.plans.stage import materialize
 
+#: What is tried for a weight, and the order in which axis pairs are.
 GRID = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
 ORDER = ("nn", "ee", "ech", "ne", "ee", "nq", "np", "en", "eq", "ep")
 
@@ -102,17 +104,64 @@ def sweep_weights(cands: DataFrame, initial: dict[str, float], metric: str = "hi
         got = held.agg(*(gain(_first_hit(total(w))).alias(f"t{i}") for i, w in enumerate(trials))).first()
         return [got[f"t{i}"] or 0.0 for i in range(len(trials))]
 
-    weights = dict(initial)
-    best = scores([weights])[0]
+    # a step ranks all values of one axis against what is held, in one pass; a round that moves nothing ends the sweep
+    held_, best = dict(initial), scores([dict(initial)])[0]
+    steps = [x for x in order if x in held_]
     for _ in range(rounds):
-        before = best
-        for axis in (x for x in order if x in weights):
-            values = [v for v in grid if v != weights[axis]]
-            chosen = weights[axis]
-            for v, s in zip(values, scores([weights | {axis: v} for v in values]), strict=True):
-                if s > best + 1e-4:
-                    best, chosen = s, v
-            weights[axis] = chosen
-        if best == before:
+        moved = False
+        for axis in steps:
+            ladder = [(v, held_ | {axis: v}) for v in grid if v != held_[axis]]
+            for (v, trial), got in zip(ladder, scores([t for _, t in ladder]), strict=True):
+                if got - best > 1e-4:
+                    best, held_, moved = got, trial, True
+        if not moved:
             break
-    return weights, best
+    return held_, best
+
+
+#: Metrics of a comparison.
+COMPARED = ("hits_1", "hits_5", "hits_10", "hits_20", "mrr", "bpref", "ec_soft_10")
+
+
+def per_query(preds: DataFrame, gold: DataFrame, codes: DataFrame) -> DataFrame:
+    """query_id and the metrics of COMPARED for every query that has gold."""
+    plain = metrics.score_queries(preds, gold).withColumnRenamed("rr", "mrr")
+    soft = soft_hits(preds, gold, codes, 10).withColumnRenamed("soft_hit", "ec_soft_10")
+    return plain.join(metrics.bpref(preds, gold), "query_id").join(soft, "query_id").select("query_id", *COMPARED)
+
+
+def compare_runs(base: DataFrame, tuned: DataFrame, gold: DataFrame, codes: DataFrame, direction: str = "sso", split: str = "C", n_boot: int = 1000, seed: int = 17) -> DataFrame:
+    """Two rows, baseline and tuned: means of the metrics, and for tuned the gain in hits at 10 with its interval.
+
+    ``base``, ``tuned``: query_id, item_id, rank of the same queries; ``gold``: query_id, item_id of every fold.
+    """
+    b, t = materialize(per_query(base, gold, codes), "compared-base"), materialize(per_query(tuned, gold, codes), "compared-tuned")
+    both = b.select("query_id", F.col("hits_10").alias("b")).join(t.select("query_id", F.col("hits_10").alias("t")), "query_id")
+    gain = bootstrap_ci(both, "t", "b", n_boot, seed).select(F.round("delta", 4).alias("delta_hits10_vs_baseline"), *(F.round(c, 4).alias(c) for c in ("ci_low", "ci_high", "p_value")))
+    none = both.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(c) for c in gain.columns))
+
+    def row(df: DataFrame, model: str, extra: DataFrame) -> DataFrame:
+        means = df.agg(F.count("*").alias("n_test"), *(F.round(F.avg(m), 4).alias(m) for m in COMPARED))
+        return means.select(F.lit(direction).alias("direction"), F.lit(split).alias("split"), "n_test", F.lit(model).alias("model"), *COMPARED).crossJoin(F.broadcast(extra))
+
+    return row(b, "baseline", none).union(row(t, "tuned", gain))
+
+
+def run_tiers(run: Callable[[DataFrame], DataFrame], pool: DataFrame, tiers: tuple[int, ...] = (10, 100, 1000), seed: int = 17) -> list[dict]:
+    """Wall time and throughput of mapping ever larger samples; a larger one holds the smaller ones.
+
+    ``pool``: query_id. The order is that of a seeded hash; tiers beyond the pool are left out. Latencies per query are
+    the wall time dealt out, as queries are mapped together.
+    """
+    import time
+
+    drawn = pool.select("query_id").distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "query_id").cast("binary")), "query_id")
+    size, out = pool.select("query_id").distinct().count(), []
+    for n in sorted(tiers):
+        if n > size:
+            continue
+        began = time.perf_counter()
+        run(drawn.limit(n)).write.format("noop").mode("overwrite").save()
+        wall = time.perf_counter() - began
+        out.append({"N": n, "wall_clock_s": round(wall, 3), "queries_per_sec": round(n / max(wall, 1e-9), 3), "ms_per_query": round(1000 * wall / n, 3), "pool_size": size})
+    return out

@@ -1,52 +1,59 @@
-"""Exact vector retrieval: a stated query set against all rows, in blocks."""
+"""Exact vector retrieval: all queries against all rows, block by block."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4_000
+#: Rows of queries and of the corpus that meet in one task; and rows of the corpus multiplied at once there.
+QUERY_BLOCK, CORPUS_BLOCK, STEP = 4_000, 40_000, 2_000
+
+
+def _best(ids: np.ndarray, mat: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, skip_self: bool) -> pd.DataFrame:
+    """The k largest products of each query with some rows, ties to the smaller id."""
+    held = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+    for s in range(0, len(own), STEP):
+        sims = mat @ rows[s : s + STEP].T
+        if skip_self:
+            sims[ids[:, None] == own[None, s : s + STEP]] = -np.inf
+        sims = np.hstack([held[0], sims])
+        items = np.hstack([held[1], np.broadcast_to(own[s : s + STEP], (len(ids), len(own[s : s + STEP])))])
+        best = np.lexsort((items, -sims), axis=1)[:, :k]
+        held = np.take_along_axis(sims, best, 1), np.take_along_axis(items, best, 1)
+    out = pd.DataFrame({"query_id": np.repeat(ids, held[0].shape[1]), "item_id": held[1].ravel(), "sim": held[0].ravel()})
+    return out[np.isfinite(out["sim"])]
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, q_id: str, q_vec: str, c_id: str, c_vec: str, skip_self: bool = False) -> DataFrame:
     """query_id, item_id, sim, rank: the k largest inner products of each query; ties go to the smaller item id.
 
-    Queries are broadcast BLOCK at a time (their size is bounded by the block), each task multiplies its part of the
-    corpus with the block and keeps its own k best, and the few partial winners are ranked after one small shuffle.
+    Both sides are dealt into blocks of bounded size, each block of queries meets each block of the corpus in one task,
+    and what is left of a block, k rows a query, is ranked in the end. Nothing passes through the driver but two counts.
+    Null ids and vectors match nothing.
     """
     spark = corpus.sparkSession
-    n = queries.count()
-    rows = queries.select(F.col(q_id).cast("long").alias("q"), F.col(q_vec).alias("v")).where("q IS NOT NULL AND v IS NOT NULL")
-    out = None
-    blocks = max(1, -(-n // BLOCK))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        got = part.toPandas().sort_values("q")
-        shared = spark.sparkContext.broadcast((got["q"].to_numpy(np.int64), np.array(got["v"].tolist(), np.float64) if len(got) else np.zeros((0, 1))))
-
-        def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, mat = shared.value
-            for pdf in it:
-                if not len(pdf) or not len(ids):
-                    continue
-                own = pdf["i"].to_numpy(np.int64)
-                order = np.argsort(own, kind="stable")
-                own = own[order]
-                sims = mat @ np.array(pdf["v"].tolist(), np.float64)[order].T
-                if skip_self:
-                    sims[ids[:, None] == own[None, :]] = -np.inf
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                picked = pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "item_id": own[best.ravel()], "sim": np.take_along_axis(sims, best, 1).ravel()})
-                yield picked[np.isfinite(picked["sim"])]
-
-        found = corpus.select(F.col(c_id).cast("long").alias("i"), F.col(c_vec).alias("v")).where("i IS NOT NULL AND v IS NOT NULL").mapInPandas(run, "query_id long, item_id long, sim double")
-        out = found if out is None else out.union(found)
+    q = queries.select(F.col(q_id).cast("long").alias("i"), F.col(q_vec).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+    c = corpus.select(F.col(c_id).cast("long").alias("i"), F.col(c_vec).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
+    n_q, n_c = q.count(), c.count()
+    across = max(1, -(-n_q // QUERY_BLOCK))
+    down = max(1, -(-n_c // CORPUS_BLOCK), min(spark.sparkContext.defaultParallelism // across, n_c // STEP))
+
+    def dealt(rows: DataFrame, own: str, blocks: int, other: str, copies: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)
+        return rows.select("i", "v", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias(own), every)
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "item_id": [], "sim": []})
+        left, right = left.sort_values("i"), right.sort_values("i")
+        return _best(left["i"].to_numpy(np.int64), np.stack(left["v"]), right["i"].to_numpy(np.int64), np.stack(right["v"]), k, skip_self)
+
+    a, b = dealt(q, "qb", across, "cb", down), dealt(c, "cb", down, "qb", across)
+    found = a.groupBy("qb", "cb").cogroup(b.groupBy("qb", "cb")).applyInPandas(meet, "query_id long, item_id long, sim double")
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "item_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def max_pool(hits: DataFrame, group: str) -> DataFrame:

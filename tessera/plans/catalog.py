@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import facets, scalar
-from tessera.operators import evaluate, fuse, metrics, modelmap, retrieve
+from tessera.operators import anchors, evaluate, fuse, metrics, modelmap, retrieve
 from tessera.operators.aggregate import aggregate_annotations
 from tessera.operators.cluster import cluster_embeddings, cluster_sets, jaccard_edges
 from tessera.operators.components import connected_components
@@ -246,24 +246,24 @@ def ec_bonus_level(spark, d):
     return x.select("p_partkey", F.when(scalar.match_level("a", "b") > 0, 0.15).otherwise(0.0).alias("bonus"))
 
 
-@registered("""WITH q AS (SELECT p_partkey AS query_id, (p_size % 7) || '.' || (p_partkey % 5) AS ec FROM part WHERE p_partkey % 10 = 0),
+@registered("""WITH q AS (SELECT p_partkey AS query_id, (p_size % 7) || '.' || (p_partkey % 5) AS ec FROM part WHERE p_partkey % 100 = 0),
 c AS (SELECT p_partkey AS item_id, (p_size % 7) || '.' || (p_partkey % 5) || '.' || (p_size % 9) AS ec FROM part)
 SELECT query_id, item_id, n FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS n FROM q JOIN c ON starts_with(c.ec, q.ec || '.') WHERE item_id <> query_id) WHERE n <= 20""")
 def ec_augment_union(spark, d):
     """At most 20 more candidates a query, in corpus order, whose code continues the query's: joined on the shared levels."""
     p = table(spark, d, "part")
     two = F.expr("concat(p_size % 7, '.', p_partkey % 5)")
-    q = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), two.alias("ec"))
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), two.alias("ec"))
     c = p.select(F.col("p_partkey").alias("item_id"), two.alias("ec"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))
     return q.join(c, "ec").where("item_id <> query_id").withColumn("n", n).where("n <= 20").select("query_id", "item_id", "n")
 
 
-@registered("""SELECT conv_id, turn, CASE WHEN n IS NULL AND e IS NULL THEN NULL ELSE concat_ws(' ', coalesce(n || ' (EC ' || e || ')', n, 'EC ' || e), '[' || r || ']', '(' || o || ')') END AS composed FROM (SELECT conv_id, turn, nullif(trim(substr(text, 1, 30)), '') AS n,
+@registered("""SELECT conv_id, turn, CASE WHEN n IS NULL AND e IS NULL THEN NULL ELSE concat_ws(' ', coalesce(n || ' (EC ' || e || ')', n, 'EC ' || e), '[' || r || ']', '(' || o || ')') END AS composed FROM (SELECT conv_id, turn, nullif(trim(text), '') AS n,
 CASE WHEN turn % 2 = 0 THEN '1.2.3.' || turn END AS e, role || '; turn' AS r, CASE WHEN turn % 3 = 0 THEN role END AS o FROM conversations)""")
 def compose_text(spark, d):
     c = table(spark, d, "conversations")
-    out = scalar.compose(F.substring("text", 1, 30), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("1.2.3."), F.col("turn"))), F.array("role", F.lit("turn")), F.when(F.col("turn") % 3 == 0, F.col("role")))
+    out = scalar.compose(F.col("text"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("1.2.3."), F.col("turn"))), F.array("role", F.lit("turn")), F.when(F.col("turn") % 3 == 0, F.col("role")))
     return c.select("conv_id", "turn", out.alias("composed"))
 
 
@@ -271,8 +271,7 @@ def compose_text(spark, d):
 (SELECT p_partkey, t, p_size / 50.0::DOUBLE AS s FROM (SELECT p_partkey, p_size, """ + CODES + """ AS t FROM part))""")
 def enzyme_guard(spark, d):
     x = table(spark, d, "part").select("p_partkey", F.expr(CODES).alias("t"), (F.col("p_size") / 50.0).alias("s"))
-    off = F.col("t").rlike(scalar.NON_ENZYME) & ~F.col("t").rlike(scalar.ENZYME)
-    return x.select("p_partkey", F.when(off, F.lit(0.55) * F.col("s")).otherwise(F.col("s")).alias("v2_raw"))
+    return x.select("p_partkey", fuse.enzyme_guard(F.col("t"), F.col("s")).alias("v2_raw"))
 
 
 @registered("""WITH x AS (SELECT p_partkey, p_size / 50.0::DOUBLE AS a, CASE WHEN p_partkey % 4 > 0 THEN p_size / 50.0::DOUBLE - (p_partkey % 10) / 100.0::DOUBLE END AS b, p_partkey % 3 = 2 AS off, """ + EC1 + " AS e1, " + EC2 + """ AS e2 FROM part),
@@ -359,12 +358,12 @@ def exact_key_join(spark, d):
 def _bridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Orders as sets of parts: queries, targets, and the 14 parts that most orders hold (ties: the smaller key)."""
     b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.col("l_partkey").alias("member")).distinct()
-    q = b.where("target_id % 25 = 0").withColumnRenamed("target_id", "query_id")
+    q = b.where("target_id % 100 = 0").withColumnRenamed("target_id", "query_id")
     top = b.groupBy("member").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "member").limit(14).select("member")
     return q, b, F.broadcast(top)
 
 
-BRIDGE_SQL = """b AS (SELECT DISTINCT l_orderkey AS target_id, l_partkey AS member FROM lineitem), q AS (SELECT target_id AS query_id, member FROM b WHERE target_id % 25 = 0),
+BRIDGE_SQL = """b AS (SELECT DISTINCT l_orderkey AS target_id, l_partkey AS member FROM lineitem), q AS (SELECT target_id AS query_id, member FROM b WHERE target_id % 100 = 0),
 u AS (SELECT member FROM b GROUP BY member ORDER BY count(*) DESC, member LIMIT 14), nq AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
 c AS (SELECT query_id, target_id, count(*) AS shared FROM q JOIN b USING (member) GROUP BY 1, 2), cand AS (SELECT query_id, target_id, shared FROM c JOIN nq USING (query_id) WHERE shared >= 2 OR shared = n)"""
 
@@ -479,12 +478,11 @@ SELECT event_id, coalesce(ko.target, ec.target) AS target, CASE WHEN ko.target I
 FROM x LEFT JOIN ko ON ko.k = x.k LEFT JOIN ec ON ec.k = x.k""")
 def anchor_first(spark, d):
     """First anchor that hits: one kind of reference, then another, then none."""
-    x = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    ko = table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(F.col("p_partkey").cast("int").alias("k")).agg(F.min("p_name").alias("ko"))
-    ec = table(spark, d, "supplier").groupBy(F.col("s_suppkey").cast("int").alias("k")).agg(F.min("s_name").alias("ec"))
-    j = x.join(ko, "k", "left").join(ec, "k", "left")
-    hit = F.when(F.col("ko").isNotNull(), "ko").when(F.col("ec").isNotNull(), "ec").otherwise("none")
-    return j.select("event_id", F.coalesce("ko", "ec").alias("target"), hit.alias("method"), F.when(hit == "ko", 1.0).when(hit == "ec", 0.85).otherwise(0.0).alias("confidence"))
+    x = table(spark, d, "events").select(F.col("event_id").alias("id"), F.array(F.get_json_object("props", "$.k").cast("int")).alias("k"))
+    ko = table(spark, d, "part").where("p_partkey % 3 = 0").groupBy(F.col("p_partkey").cast("int").alias("key")).agg(F.min("p_name").alias("target_id"))
+    ec = table(spark, d, "supplier").groupBy(F.col("s_suppkey").cast("int").alias("key")).agg(F.min("s_name").alias("target_id"))
+    hits = anchors.anchor_first(x, [("ko", "k", ko), ("ec", "k", ec)])
+    return hits.select(F.col("id").alias("event_id"), F.get("target_ids", F.lit(0)).alias("target"), "method", "confidence")
 
 
 @registered()
@@ -594,9 +592,15 @@ def annotated_context(spark, d):
     return star.description_context(t).select("description_id", "description", "genes", "sources", "ontology_terms")
 
 
+def _all() -> None:
+    from tessera.plans import mapping_queries  # noqa: F401  registers the others
+
+
 def queries() -> dict:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(ORACLE)
