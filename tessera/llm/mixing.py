@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import words_column
+from tessera.llm.text import WORD
 from tessera.plans.stage import materialize, release
 
 LEVELS = ("domain", "lang", "source")
@@ -13,7 +13,7 @@ LEVELS = ("domain", "lang", "source")
 
 def token_counts(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     """id_col, the columns to keep, n_tokens: words of the whole text."""
-    return docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.size(words_column(F.col(text_col).cast("string"))).cast("long").alias("n_tokens"))
+    return docs.select(F.col(id_col).cast("long").alias(id_col), *keep, F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("n_tokens"))
 
 
 def fill(children: DataFrame, parent: list[str], child: str) -> DataFrame:

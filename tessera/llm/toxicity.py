@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import map_batches, raw_texts
+from tessera.llm.text import give_back, map_batches, raw_texts
 
 DECAY, SPAN, SYMBOLS = 0.6, 7, 64
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
@@ -140,21 +140,31 @@ def kernel(ws: list[str], marks: list[str], step: int = 2048) -> np.ndarray:
     return out
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps on the active rows."""
-    xb = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(xb.shape[1])
-    ridge = np.eye(xb.shape[1])
+def train_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 30, step: int = 2048) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by Newton steps on the active rows, which are summed ``step`` at a time."""
+    w, bias, d = np.zeros(x.shape[1]), 0.0, x.shape[1]
+    ridge = np.eye(d + 1)
     ridge[-1, -1] = 1e-6
     active = None
     for _ in range(rounds):
-        now = y * (xb @ w) < 1
+        now = y * (x @ w + bias) < 1
         if active is not None and (now == active).all():
             break
         active = now
-        xa, ya, wa = xb[active], y[active], c * weight[active]
-        w = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ ya)
-    return w[:-1], float(w[-1])
+        at, left, right = np.flatnonzero(active), ridge.copy(), np.zeros(d + 1)
+        for s in range(0, len(at), step):
+            part = at[s : s + step]
+            xa, wa = x[part], c * weight[part]
+            heavy = xa * wa[:, None]
+            left[:d, :d] += heavy.T @ xa
+            left[:d, d] += heavy.sum(axis=0)
+            left[d, d] += wa.sum()
+            right[:d] += heavy.T @ y[part]
+            right[d] += (wa * y[part]).sum()
+        left[d, :d] = left[:d, d]
+        w = np.linalg.solve(left, right)
+        w, bias = w[:-1], float(w[-1])
+    return w, bias
 
 
 class Model:
@@ -165,7 +175,7 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * (margin - self.at)))))
 
 
-def distinct_bags(bags: list[tuple[set, int]], hashes: int = 12, same: int = 4) -> list[tuple[set, int]]:
+def distinct_bags(bags: list[tuple[tuple, int]], hashes: int = 12, same: int = 4) -> list[tuple[tuple, int]]:
     """Leaves out bags that share ``same`` of their MinHash values with one before them of the same label."""
     seen: dict[tuple, list[int]] = {}
     out = []
@@ -187,13 +197,13 @@ def learn(rows: Iterable[tuple[str, int]], **bounds: int) -> Model:
     return learn_bags(((bag_of(text), label) for text, label in rows), **bounds)
 
 
-def bag_of(text: str | None) -> set[str]:
-    """Words of three letters or more in the text's sentences."""
-    return {sys.intern(w) for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3}
+def bag_of(text: str | None) -> tuple[str, ...]:
+    """Distinct words of three letters or more in the text's sentences; a tuple, as it takes an eighth of a set."""
+    return tuple(map(sys.intern, sorted({w for s in SENTENCE.split(text or "") for w in clean_words(s.encode()) if len(w) >= 3})))
 
 
-def learn_bags(rows: Iterable[tuple[set[str], int]], landmarks: int = 240, seed: int = 5, frequent_words: int = 3000, other_words: int = 4000, hard_words: int = 2500) -> Model:
-    """``rows``: sets of words of labelled texts.
+def learn_bags(rows: Iterable[tuple[tuple[str, ...], int]], landmarks: int = 240, seed: int = 5, frequent_words: int = 3000, other_words: int = 4000, hard_words: int = 2500) -> Model:
+    """``rows``: distinct words of labelled texts.
 
     Labels are of texts, so a toxic text is a bag of sentences, and it is unknown which are toxic. First witnesses are
     the words of toxic texts' sentences whose share among them is far above that in clean texts; the machine trained on
@@ -202,7 +212,7 @@ def learn_bags(rows: Iterable[tuple[set[str], int]], landmarks: int = 240, seed:
     each round the ``hard_words`` of them that score highest of all. Near copies of a text of the same label count once.
     """
     empty = Model(np.zeros(SYMBOLS**3, np.float32), -1.0, 1.0, 0.0)
-    bags = list(rows)
+    bags: list[tuple[tuple[str, ...], int]] = list(rows)
     # copies of one text would make all its words look like witnesses
     bags = distinct_bags(bags)
     toxic, clean = [b for b, y in bags if y == 1], [b for b, y in bags if y == 0]
@@ -238,9 +248,11 @@ def learn_bags(rows: Iterable[tuple[set[str], int]], landmarks: int = 240, seed:
         good = vals > max(vals.max(), 1e-9) * 1e-8
         whiten = vecs[:, good] / np.sqrt(vals[good])
         x = k[: len(pos) + len(neg)] @ whiten
+        del k, own
         y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[np.full(len(pos), max(1.0, len(neg) / max(1, len(pos)) / 4)), np.ones(len(neg))]
         w, bias = train_svm(x, y, weight, c=100.0)
+        del x
         beta = whiten @ w
         table = np.zeros(SYMBOLS**3, np.float32)
         for m, b in zip(marks, beta, strict=True):
@@ -250,7 +262,7 @@ def learn_bags(rows: Iterable[tuple[set[str], int]], landmarks: int = 240, seed:
             rate = dict(zip(own_words, scores(own_words, table) + bias, strict=True))
             for b in toxic:
                 cand = [w for w in b if w in rate]
-                if step == 2 and cand and not (b & witness):
+                if step == 2 and cand and witness.isdisjoint(b):
                     best = max(cand, key=lambda w: (rate[w], w))
                     if rate[best] > 0.3:
                         grown.add(best)
@@ -290,16 +302,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def bags(it: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in it:
             for i, y, o, t in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                yield pa.record_batch([pa.array([i]), pa.array([y], pa.int32()), pa.array([o]), pa.array([sorted(bag_of(t))], pa.list_(pa.string()))], names=["i", "y", "o", "ws"])
+                yield pa.record_batch([pa.array([i]), pa.array([y], pa.int32()), pa.array([o]), pa.array([bag_of(t)], pa.list_(pa.string()))], names=["i", "y", "o", "ws"])
 
     found = []
     for y in (0, 1):
         kept = rows.where(F.col("y") == y).select("i", "y", "o", "t").distinct().orderBy("o", "i").limit(sample)
         # one row at a time: only distinct words stay
         for r in kept.mapInArrow(bags, "i long, y int, o long, ws array<string>").toLocalIterator():
-            found.append((r["i"], r["o"], r["y"], {sys.intern(w) for w in r["ws"]}))
+            found.append((r["i"], r["o"], r["y"], tuple(map(sys.intern, r["ws"]))))
     found.sort(key=lambda r: r[:2])
-    return learn_bags((ws, y) for _, _, y, ws in found)
+    model = learn_bags([(ws, y) for _, _, y, ws in found])
+    del found
+    give_back()
+    return model
 
 
 _MEMO: dict[str, tuple] = {}
