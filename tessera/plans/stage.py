@@ -11,10 +11,14 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (local tests), a folder of our own."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a cluster uses its warehouse, which all executors see,
+    and a session of one process a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-stages"
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
