@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,10 @@ def release(*dfs: DataFrame | None) -> None:
 def delete_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more: it does so when the driver's garbage
+    is collected, which can be long after a written stage has made them useless."""
+    gc.collect()
+    spark._jvm.System.gc()
