@@ -26,10 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.text import PART, give_back, parts, raw_texts
-from tessera.plans.stage import materialize, release
+from tessera.plans.stage import forget, materialize, release
 
 MIN_BIGRAM, GT_MAX, HEAD, CACHE = 1, 5, 300_000, 150_000
 PIECES = "bucket long, kind int, payload binary"
+#: Bytes of text a bucket is for: a task that merges one holds its share of distinct keys.
+BUCKET_BYTES = 16 << 20
 #: No word holds a space, so these are no word's keys.
 START, END = xxhash.xxh64_intdigest(b" start"), xxhash.xxh64_intdigest(b" end")
 
@@ -119,8 +121,14 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[first], np.add.reduceat(counts[order], first) if len(k) else counts[:0], order[first]
 
 
-def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
-    """(ord, h, w, c): all unigrams (h 0), bigrams of MIN_BIGRAM or more, and under ord 0 how many n-grams of order h
+def bucket_count(texts: DataFrame, text_col: str) -> int:
+    """Buckets for as much text as there is, and no fewer than the session's shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def count_ngrams(texts: DataFrame, text_col: str, buckets: int, min_bigram: int = MIN_BIGRAM) -> DataFrame:
+    """(ord, h, w, c): all unigrams (h 0), bigrams of ``min_bigram`` or more, and under ord 0 how many n-grams of order h
     have count w."""
     spark = texts.sparkSession
     labels = bucket_labels(spark, buckets)
@@ -165,11 +173,14 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int) -> DataFrame:
             cc = np.concatenate([b[2] for b in big]).astype(np.int64)
             big.clear()
             k, c, first = summed(bigram_keys(h, w), cc)
-            out.append((2, h[first], w[first], c))
+            order = first[np.argsort(h[first], kind="stable")]  # by history, which is stored in little then
+            counts = np.empty(len(h), np.int64)
+            counts[first] = c
+            out.append((2, h[order], w[order], counts[order]))
         for n, h, w, c in out:
             r, times = np.unique(c[c <= GT_MAX + 1], return_counts=True)
             yield pa.record_batch([pa.array(np.zeros(len(r), np.int32)), pa.array(np.full(len(r), n, np.int64)), pa.array(r.astype(np.int64)), pa.array(times.astype(np.int64))], names=["ord", "h", "w", "c"])
-            keep = c >= (1 if n == 1 else MIN_BIGRAM)
+            keep = c >= (1 if n == 1 else min_bigram)
             h, w, c = h[keep].view(np.int64), w[keep].view(np.int64), c[keep]
             for s in range(0, len(c), 65536):
                 e = min(len(c), s + 65536)
@@ -208,16 +219,19 @@ class Katz:
         self.uni, self.big, self.total, self.vocabulary, self.unknown, self.start_alpha = uni, big, total, vocabulary, unknown, start_alpha
 
 
-def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None) -> Katz:
-    """Learn from all rows; a null text is an empty one. No rows: every word is unknown with probability 1."""
+def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None, min_bigram: int = MIN_BIGRAM) -> Katz:
+    """Learn from all rows; a null text is an empty one, whole texts are read, repeated rows count each time, and other
+    columns are not read, whatever their names. No rows: every word is unknown with probability 1. Bigrams seen less than
+    ``min_bigram`` times back off; 1 keeps them all."""
     spark = texts.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grams = materialize(count_ngrams(texts, text_col, buckets), "ngrams", ["ord"])
+    buckets = buckets or bucket_count(texts, text_col)
+    grams = materialize(count_ngrams(texts, text_col, buckets, min_bigram), "ngrams", ["ord"])
+    forget(spark)
     of = {1: {}, 2: {}}
     for r in grams.where("ord = 0").groupBy("h", "w").agg(F.sum("c").alias("n")).collect():
         of[r["h"]][r["w"]] = r["n"]
-    d1, d2 = discounts(of[1], 1), discounts(of[2], MIN_BIGRAM)
-    uni = grams.where("ord = 1").select("w", "c")
+    d1, d2 = discounts(of[1], 1), discounts(of[2], min_bigram)
+    uni = materialize(grams.where("ord = 1").select("w", "c"), "unigrams")
     big = grams.where("ord = 2").select("h", "w", "c")
     row = uni.agg(F.sum("c"), F.count("*"), F.sum(discounted(F.col("c"), d1)), F.sum(F.when(F.col("w") == signed(END), F.col("c")))).first()
     total, vocabulary, mass, starts = row[0] or 0, row[1], float(row[2] or 0), row[3] or 0
@@ -228,6 +242,9 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None)
     p = discounted(F.col("c"), d1) * F.lit(scale / total if total else 0.0)
     probs = uni.select("w", "c", p.alias("p"))
     with_p = materialize(big.join(probs.select("w", "p"), "w").select("h", "w", "c", "p"), "bigram-p")
+    release(grams)
+    del big
+    forget(spark)
     sums = with_p.groupBy("h").agg(F.sum(discounted(F.col("c"), d2)).alias("m"), F.sum("p").alias("q"))
     start = spark.createDataFrame([(signed(START), int(starts))], "w long, c long")
     hist = sums.join(uni.union(start).select(F.col("w").alias("h"), F.col("c").alias("ch")), "h")
@@ -239,7 +256,9 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None)
     joined = probs.join(hist.select(F.col("h").alias("w"), "log_alpha"), "w", "left").select("w", "c", "p", F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
     out_uni = materialize(joined, "katz-unigrams")
     first = hist.where(F.col("h") == signed(START)).select("log_alpha").first()
-    release(with_p, hist, grams)
+    release(with_p, hist, uni)
+    del with_p, hist, sums, joined, probs, uni
+    forget(spark)
     return Katz(out_uni, out_big, total, vocabulary, unknown, first[0] if first else 0.0)
 
 
@@ -301,12 +320,15 @@ def look_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray])
 def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """id_col, n_tokens, n_known, base_score, score for every row; repeated rows keep their number, null ids are kept.
 
+    A null or empty text is its end alone, whole texts are scored, an empty table gives no rows, and other columns are not
+    read, whatever their names.
+
     A text's score is the sum over its tokens of alpha(h) p(w), plus a gain for each kept bigram, which is the recursion
     p(w | h) -> p(w) -> unknown written as sums that are gathered by key. What a bucket adds to the texts of a slice goes
     back to that slice as one piece, and there is one row out for each row in.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or bucket_count(docs, text_col)
     labels = bucket_labels(spark, buckets)
     uni, big = _values(model.uni, False), _values(model.big, True)
     floors = [_head_floor(model.uni), _head_floor(model.big)]
