@@ -104,5 +104,16 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN payload_bytes >= 100
 FROM p LEFT JOIN f USING (payload_digest)"""
 
 
+#: All pairs of a label, for tables of this size; the operator finds pairs at the threshold with probability 0.9995 each.
+VECTORS_SQL = """
+WITH RECURSIVE f AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+g AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.98),
+r(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM g UNION (SELECT g.b, min(r.component) FROM r JOIN g ON g.a = r.node JOIN recurring.r AS old ON old.node = g.b WHERE r.component < old.component GROUP BY g.b)),
+n AS (SELECT a AS node, count(*) AS n FROM g GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(r.component, vec_id) AS component_id, vec_id = coalesce(r.component, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.node = vec_id LEFT JOIN r ON r.node = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": URL_SQL, "op5_decontaminate": decontaminate.oracle(), "op6_warc": WARC_SQL}
+    return {"op3_url_filter": URL_SQL, "op5_decontaminate": decontaminate.oracle(), "op6_warc": WARC_SQL, "op7_vectors": VECTORS_SQL}
