@@ -47,6 +47,7 @@ class PieceModel:
     def __init__(self, languages: list[str], pieces: list[str], p: np.ndarray) -> None:
         self.languages, self.pieces, self.p = languages, pieces, p
         self.ids = {w: i for i, w in enumerate(pieces)}
+        self.starts = {w[:n] for w in pieces for n in range(1, len(w) + 1)}
         # pieces as a trie: state and letter class to state; 0 is the dead state, 1 the root, class 0 any other letter.
         # The COMMON most frequent letters have a dense table, arcs of the others are searched
         letters_ = [c for c, _ in sorted(Counter(c for w in pieces for c in w).items(), key=lambda x: (-x[1], x[0]))]
@@ -84,6 +85,19 @@ class PieceModel:
     def arcs(self, word: str) -> list[tuple[int, int, int]]:
         """(from, to, piece) of every piece in the word, by start; -1: a letter that is no piece."""
         n = len(word)
+        if n <= LONG:  # plain look-ups are quicker than arrays of a few letters
+            out, ids, starts = [], self.ids, self.starts
+            for a in range(n):
+                i = ids.get(word[a], -1)
+                out.append((a, a + 1, i))
+                for b in range(a + 2, min(n, a + MAX_PIECE) + 1):
+                    part = word[a:b]
+                    if part not in starts:
+                        break
+                    i = ids.get(part)
+                    if i is not None:
+                        out.append((a, b, i))
+            return out
         codes = np.zeros(n + MAX_PIECE, np.int32)
         codes[:n] = self.classes[np.frombuffer(word.encode("utf-32-le"), np.uint32)]
         state, found = np.ones(n, np.int32), []
