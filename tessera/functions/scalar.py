@@ -51,6 +51,7 @@ NON_ENZYME_WORDS = [
     "nucleoid-associated",
     r"phage\s+protein",
     r"structural\s+protein",
+    r"hypothetical\s+protein",
 ]
 ENZYME_WORDS = [
     r"EC\s*\d+\.",
@@ -70,6 +71,7 @@ ENZYME_WORDS = [
     "nuclease",
     "phosphatase",
     "carboxylase",
+    "decarboxylase",
     "esterase",
     "lipase",
     "amidase",
@@ -78,8 +80,10 @@ ENZYME_WORDS = [
     "mutase",
     "lyase",
     "transaminase",
+    "aminotransferase",
     "cyclase",
     "dismutase",
+    "methylthiotransferase",
 ]
 NON_ENZYME, ENZYME = (f"(?i)({'|'.join(w)})" for w in (NON_ENZYME_WORDS, ENZYME_WORDS))
 

@@ -73,7 +73,7 @@ def _label_gold(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Per query: gold is every other vector of its label. The sizes come from label counts, so no pair is listed."""
     e = table(spark, d, "embeddings").select("vec_id", "label")
     size = e.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
-    return e.join(F.broadcast(size), "label").where("n_gold > 0"), _labelled(spark, d).where("ql = cl")
+    return e.join(size, "label").where("n_gold > 0"), _labelled(spark, d).where("ql = cl")
 
 
 def _per_query(spark: SparkSession, d: str) -> DataFrame:
