@@ -180,7 +180,7 @@ def sssom_rows(spark, d):
     return rows.join(ranks, ["subject_id", "object_id"])
 
 
-@registered()
+@registered(f"WITH {FUSED_SQL} SELECT query_id, CAST(to_json({{'query_id': query_id, 'predictions': list({{'rank': rank, 'item_id': item_id, 'score': fused}} ORDER BY rank)}}) AS VARCHAR) AS json FROM fused GROUP BY query_id")
 def rich_json(spark, d):
     return writers.rich_json(_fused(spark, d).withColumnRenamed("fused", "score"))
 
