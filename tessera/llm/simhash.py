@@ -31,6 +31,8 @@ from tessera.plans.stage import materialize, release
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
+#: Shingles of a text that are worked on together.
+STEP = 1 << 16
 #: Near texts: fingerprints, bits of them that may differ (at 0.8: 29 expected, deviation 5), and words of the sketch that crowds are compared by.
 PRINTS, BITS, SKETCH = 3, 64, 32
 NINE = PRINTS * len(SEGMENTS)
@@ -38,20 +40,29 @@ NINE = PRINTS * len(SEGMENTS)
 ORDER = 0x2545F4914F6CDD1D
 
 
+def run_hashes(ws: list[bytes], k: int, step: int = STEP) -> np.ndarray:
+    """XXH64 of each k-word shingle in order, repeats included, of which ``step`` are held as texts at a time."""
+    out = []
+    for a in range(0, max(1, len(ws) - k + 1), step):
+        part = shingles(ws[a : a + step + k - 1], k)
+        out.append(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), part), np.uint64, len(part)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def _vote(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.zeros(64, np.int64)
-    for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
-        ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
+    for a in range(0, len(hashes), STEP):
+        bits = np.unpackbits(hashes[a : a + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: bytes | None, k: int) -> int:
     """Signed 64-bit SimHash of the k-word shingles; a text without words has zero."""
-    parts = shingles(words(text), k)
-    return _vote(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), parts), np.uint64, len(parts)))
+    return _vote(run_hashes(words(text), k))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,9 +145,8 @@ def simhash_components(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text
 
 
 def set_hashes(text: bytes | None, k: int) -> np.ndarray:
-    """XXH64 of each distinct k-word shingle, in no order."""
-    own = set(shingles(words(text), k))
-    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), own), np.uint64, len(own))
+    """XXH64 of each distinct k-word shingle, in order."""
+    return np.unique(run_hashes(words(text), k))
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -145,8 +155,12 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 def _min_hashes(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """n min-hashes of a set: the least of each of n remixings."""
-    mixed = (h ^ (h >> np.uint64(29)))[:, None] * _odd(n, seed)[None, :]
-    return (mixed ^ (mixed >> np.uint64(32))).min(axis=0)
+    mix, least = _odd(n, seed)[None, :], np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), STEP):  # a long text in parts
+        part = h[a : a + STEP]
+        mixed = (part ^ (part >> np.uint64(29)))[:, None] * mix
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    return least
 
 
 PRINT_COLUMNS, MIN_COLUMNS = [f"f{i}" for i in range(PRINTS)], [f"m{i}" for i in range(NINE)]

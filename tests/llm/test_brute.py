@@ -137,6 +137,15 @@ def test_fingerprint():
         assert simhash.fingerprint(text.encode(), 3) & (1 << 64) - 1 == want
 
 
+def test_long_texts_in_parts(monkeypatch):
+    ws = words(random.Random(11), 1000, 50).encode()
+    whole, least = simhash.fingerprint(ws, 3), simhash._min_hashes(simhash.set_hashes(ws, 5), 9, 11)
+    monkeypatch.setattr(simhash, "STEP", 64)
+    parts = simhash.run_hashes(ws.split(), 3, 64)
+    assert (parts == simhash.run_hashes(ws.split(), 3, 10**6)).all() and len(parts) == 998
+    assert simhash.fingerprint(ws, 3) == whole and (simhash._min_hashes(simhash.set_hashes(ws, 5), 9, 11) == least).all()
+
+
 def test_near_keys_are_needed(spark, monkeypatch):
     """Without its keys the search finds nothing, so what it finds it finds through them."""
     rng = random.Random(7)
