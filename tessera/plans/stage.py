@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def forget(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of tables that nothing refers to any more: it does so when the driver's garbage
-    is collected, which can be long after a written stage has made them useless."""
-    gc.collect()
-    spark._jvm.System.gc()
+    is collected, which can be long after a written stage has made them useless. The second round finds what the first
+    one has let go of; between them Spark's cleaner has a moment to work."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
