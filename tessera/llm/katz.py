@@ -241,7 +241,8 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None,
         scale, unknown = total / (total + 1), 1 / (total + 1)
     p = discounted(F.col("c"), d1) * F.lit(scale / total if total else 0.0)
     probs = uni.select("w", "c", p.alias("p"))
-    with_p = materialize(big.join(probs.select("w", "p"), "w").select("h", "w", "c", "p"), "bigram-p")
+    # words and histories are hashed a bucket at a time, so the bigrams, by far the most rows, are never sorted
+    with_p = materialize(big.join(probs.select("w", "p").hint("shuffle_hash"), "w").select("h", "w", "c", "p"), "bigram-p")
     release(grams)
     del big
     forget(spark)
@@ -251,13 +252,15 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None,
     left = 1 - F.col("m") / F.col("ch")
     hist = hist.withColumn("scale", F.when(left > 1e-12, 1.0).otherwise(F.col("ch") / (F.col("ch") + 1)))
     hist = materialize(hist.select("h", "ch", "scale", F.log10((1 - F.col("scale") * F.col("m") / F.col("ch")) / (1 - F.col("q"))).alias("log_alpha")), "histories")
+    del sums
+    forget(spark)
     gain = F.log10(F.col("scale") * discounted(F.col("c"), d2) / F.col("ch")) - F.col("log_alpha") - F.log10("p")
-    out_big = materialize(with_p.join(hist, "h").select("h", "w", "c", gain.alias("gain")), "katz-bigrams")
+    out_big = materialize(with_p.join(hist.hint("shuffle_hash"), "h").select("h", "w", "c", gain.alias("gain")), "katz-bigrams")
     joined = probs.join(hist.select(F.col("h").alias("w"), "log_alpha"), "w", "left").select("w", "c", "p", F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
     out_uni = materialize(joined, "katz-unigrams")
     first = hist.where(F.col("h") == signed(START)).select("log_alpha").first()
     release(with_p, hist, uni)
-    del with_p, hist, sums, joined, probs, uni
+    del with_p, hist, joined, probs, uni
     forget(spark)
     return Katz(out_uni, out_big, total, vocabulary, unknown, first[0] if first else 0.0)
 
