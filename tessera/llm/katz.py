@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.text import PART, give_back, parts, raw_texts
+from tessera.llm.text import give_back, parts, raw_texts
 from tessera.plans.stage import forget, materialize, release
 
 MIN_BIGRAM, GT_MAX, HEAD, CACHE = 1, 5, 300_000, 150_000
 PIECES = "bucket long, kind int, payload binary"
+#: Bytes of texts that are counted or scored together: the more, the more repeats are added up before the shuffle.
+TEXTS = 4 << 20
 #: Bytes of text a bucket is for: a task that merges one holds its share of distinct keys.
 BUCKET_BYTES = 16 << 20
 #: No word holds a space, so these are no word's keys.
@@ -134,7 +136,7 @@ def count_ngrams(texts: DataFrame, text_col: str, buckets: int, min_bigram: int
     labels = bucket_labels(spark, buckets)
 
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for b in it for x in parts(b, PART // 2)):
+        for batch in (x for b in it for x in parts(b, TEXTS)):
             h, w, _ = tokens(raw_texts(batch.column(0)))
             rows = []
             uk, uc, _ = summed(w, np.ones(len(w), np.uint32))
@@ -344,7 +346,7 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
         # a slice of texts is named by its place, which a repeated task finds again
         origin, slices = TaskContext.get().partitionId() << 32, 0
         for batch in it:
-            for part in parts(batch, PART // 2):
+            for part in parts(batch, TEXTS):
                 texts = raw_texts(part.column(1))
                 h, w, doc = tokens(texts)
                 n = len(texts)

@@ -29,7 +29,7 @@ from tessera.llm.text import give_back, map_batches, raw_texts
 DECAY, SPAN, SYMBOLS = 0.6, 7, 64
 OFFSETS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 WEIGHTS = np.array([DECAY ** (k + 1) for _, k in OFFSETS], np.float32)
-CACHE = 400_000
+CACHE = 200_000
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
