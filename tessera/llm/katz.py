@@ -9,7 +9,8 @@ sorted and cut into buckets of the key space, and one compressed piece for each
 bucket holds a share of the distinct keys, a task adds up its own repeats first, and a word or bigram with any share of
 all tokens is one entry a task (counting) or one entry a document (scoring). Counts and model are tables partitioned by
 order. A bounded head of the model (HEAD entries an order, chosen by a count threshold) is broadcast and evaluated at
-once; all other entries meet their tokens in the buckets.
+once; all other entries meet their tokens in the buckets. Training broadcasts the HEAD most frequent words, then histories,
+in the same way: most bigrams find theirs where they are stored, and only those of the rarer ones are shuffled.
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ MIN_BIGRAM, GT_MAX, HEAD, CACHE = 1, 5, 300_000, 150_000
 PIECES = "bucket long, kind int, payload binary"
 #: Bytes of texts that are counted or scored together: the more, the more repeats are added up before the shuffle.
 TEXTS = 4 << 20
+#: Documents are scored in so many parts, one after the other: the model's pieces go through the shuffle once for each, but
+#: never beside the tokens of all documents.
+SCORED_IN = 2
+#: Rows of a table that are cut into buckets together: the more, the closer their keys and the fewer pieces.
+TABLE_ROWS = 1 << 18
 #: Bytes of text a bucket is for: a task that merges one holds its share of distinct keys.
 BUCKET_BYTES = 16 << 20
 #: No word holds a space, so these are no word's keys.
@@ -243,8 +249,7 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None,
         scale, unknown = total / (total + 1), 1 / (total + 1)
     p = discounted(F.col("c"), d1) * F.lit(scale / total if total else 0.0)
     probs = uni.select("w", "c", p.alias("p"))
-    # words and histories are hashed a bucket at a time, so the bigrams, by far the most rows, are never sorted
-    with_p = materialize(big.join(probs.select("w", "p").hint("shuffle_hash"), "w").select("h", "w", "c", "p"), "bigram-p")
+    with_p = materialize(_meet(big, probs.select("w", "p", F.col("c").alias("often")), "w").select("h", "w", "c", "p"), "bigram-p")
     release(grams)
     del big
     forget(spark)
@@ -257,12 +262,15 @@ def train(texts: DataFrame, text_col: str = "text", buckets: int | None = None,
     del sums
     forget(spark)
     gain = F.log10(F.col("scale") * discounted(F.col("c"), d2) / F.col("ch")) - F.col("log_alpha") - F.log10("p")
-    out_big = materialize(with_p.join(hist.hint("shuffle_hash"), "h").select("h", "w", "c", gain.alias("gain")), "katz-bigrams")
+    out_big = materialize(_meet(with_p, hist.withColumn("often", F.col("ch")), "h").select("h", "w", "c", gain.alias("gain")), "katz-bigrams")
+    release(with_p)
+    del with_p
+    forget(spark)
     joined = probs.join(hist.select(F.col("h").alias("w"), "log_alpha"), "w", "left").select("w", "c", "p", F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
     out_uni = materialize(joined, "katz-unigrams")
     first = hist.where(F.col("h") == signed(START)).select("log_alpha").first()
-    release(with_p, hist, uni)
-    del with_p, hist, joined, probs, uni
+    release(hist, uni)
+    del hist, joined, probs, uni
     forget(spark)
     return Katz(out_uni, out_big, total, vocabulary, unknown, first[0] if first else 0.0)
 
@@ -279,6 +287,16 @@ def _head_floor(counts: DataFrame) -> int:
     return floor
 
 
+def _meet(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has each key once and in ``often`` how frequent it is. The most frequent keys go to
+    the rows; only rows of other keys are shuffled, and those keys hashed a bucket at a time, so the rows are never sorted."""
+    floor = _head_floor(table.select(F.col("often").alias("c")))
+    head = F.broadcast(table.where(F.col("often") >= floor).drop("often"))
+    tail = table.where(F.col("often") < floor).drop("often")
+    rest = rows.join(head, key, "left_anti").join(tail.hint("shuffle_hash"), key)
+    return rows.join(head, key).unionByName(rest)
+
+
 def _keyed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, values, counts of a batch of :func:`_values`."""
     h, w = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
@@ -293,15 +311,26 @@ def _values(df: DataFrame, big: bool) -> DataFrame:
 
 
 def _table_pieces(values: DataFrame, kind: int, buckets: int, labels: list[int]) -> DataFrame:
+    def cut(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        k, v, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        if kind == 2:  # nothing asks how often a bigram was seen
+            c = np.zeros(len(k), np.uint8)
+        o = np.argsort(k)
+        k, v, c = k[o], v[o], c[o]
+        at = cuts(k, buckets)
+        return pieces([(labels[i], kind, pack(k[s:e], v[s:e], c[s:e])) for i, (s, e) in enumerate(zip(at, at[1:], strict=False)) if s < e])
+
     def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in it:
-            if not b.num_rows:
-                continue
-            k, v, c = _keyed(b)
-            o = np.argsort(k)
-            k, v, c = k[o], v[o], c[o]
-            at = cuts(k, buckets)
-            yield pieces([(labels[i], kind, pack(k[s:e], v[s:e], c[s:e])) for i, (s, e) in enumerate(zip(at, at[1:], strict=False)) if s < e])
+            if b.num_rows:
+                held.append(_keyed(b))
+                n += b.num_rows
+            if n >= TABLE_ROWS:
+                yield cut(held)
+                held, n = [], 0
+        if held:
+            yield cut(held)
         give_back()
 
     return values.mapInArrow(split, PIECES)
@@ -330,7 +359,8 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
 
     A text's score is the sum over its tokens of alpha(h) p(w), plus a gain for each kept bigram, which is the recursion
     p(w | h) -> p(w) -> unknown written as sums that are gathered by key. What a bucket adds to the texts of a slice goes
-    back to that slice as one piece, and there is one row out for each row in.
+    back to that slice as one piece, and there is one row out for each row in. Documents are dealt by id into SCORED_IN
+    parts; all but the last are scored and written here.
     """
     spark = docs.sparkSession
     buckets = buckets or bucket_count(docs, text_col)
@@ -420,14 +450,14 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, null, size, sums = None, None, None, None, None
 
-        def rows() -> pa.RecordBatch:
+        def full() -> pa.RecordBatch:
             return pa.record_batch([pa.array(ids, mask=null.astype(bool)), pa.array(size), pa.array(np.rint(sums[0]).astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=["doc", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in it:
             for name, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     if now is not None:
-                        yield rows()
+                        yield full()
                     now = name
                     _, ids, null, size, *three = unpack(payload)
                     sums = np.array(three)
@@ -435,11 +465,21 @@ def evaluate(docs: DataFrame, model: Katz, id_col: str = "doc_id", text_col: str
                     own, *more = unpack(payload)
                     sums[:, own] += np.array(more)
         if now is not None:
-            yield rows()
-
-    tail = _table_pieces(uni.where(F.col("c") < floors[0]), 1, buckets, labels).union(_table_pieces(big.where(F.col("c") < floors[1]), 2, buckets, labels))
-    told = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(events, PIECES)
-    met = tail.union(told).repartition(buckets, "bucket").sortWithinPartitions("kind")
-    back = met.mapInArrow(gather, PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
-    done = back.mapInArrow(finish, "doc long, n_tokens long, n_known long, base_score double, score double")
-    return done.withColumnRenamed("doc", id_col)
+            yield full()
+
+    def scored(part: int) -> DataFrame:
+        told = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(SCORED_IN)) == part).mapInArrow(events, PIECES)
+        tail = _table_pieces(uni.where(F.col("c") < floors[0]), 1, buckets, labels).union(_table_pieces(big.where(F.col("c") < floors[1]), 2, buckets, labels))
+        met = tail.union(told).repartition(buckets, "bucket").sortWithinPartitions("kind")
+        back = met.mapInArrow(gather, PIECES).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+        return back.mapInArrow(finish, "doc long, n_tokens long, n_known long, base_score double, score double")
+
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    out = None
+    for part in range(SCORED_IN):
+        done = scored(part)
+        if part < SCORED_IN - 1:
+            done = materialize(done, "scores")
+            forget(spark)
+        out = done if out is None else out.unionByName(done)
+    return out.withColumnRenamed("doc", id_col)

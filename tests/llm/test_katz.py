@@ -3,6 +3,9 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import katz
 
 TEXTS = ["a b a b c", "a b c d", "b c a b", "", None, "x y x y x y z", "a b\nC d\t a", "q " * 30, "a b a b c", "lone words here", "b c d e f g a b"]
@@ -83,3 +86,38 @@ def test_bigrams_seen_once_are_in_the_model(spark):
         ws = [" start", *(t or "").lower().split(), " end"]
         seen.update(zip(ws, ws[1:]))
     assert Counter(r["c"] for r in model.big.select("c").collect()) == Counter(seen.values())
+
+
+@pytest.mark.parametrize("head", [1, 4, 12])
+def test_part_of_the_words_in_the_head(spark, monkeypatch, head):
+    monkeypatch.setattr(katz, "HEAD", head)
+    check(spark, True)
+
+
+def test_only_rows_of_rare_keys_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(katz, "HEAD", 3)
+    rows = spark.range(100).select((F.col("id") % 5).alias("w"), "id")
+    table = spark.createDataFrame([(w, w / 2, 10 - w) for w in range(4)], "w long, p double, often long")
+    got = katz._meet(rows, table, "w")
+    assert sorted(tuple(r) for r in got.select("id", "w", "p").collect()) == [(i, i % 5, i % 5 / 2) for i in range(100) if i % 5 < 4]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and plan.count("strategy=shuffle_hash") == 1
+
+
+def test_tables_go_to_their_buckets_in_large_pieces(spark):
+    n, buckets = 200_000, 64
+    values = spark.range(0, n, 1, 1).select(F.xxhash64("id").alias("h"), F.xxhash64("id", F.lit(1)).alias("w"), F.log10(F.col("id") + 2).alias("value"), F.lit(1).cast("long").alias("c"), F.lit(True).alias("big"))
+    got = katz._table_pieces(values, 2, buckets, list(range(buckets))).select(F.length("payload").alias("b")).collect()
+    assert len(got) == buckets and sum(r["b"] for r in got) < 15 * n
+
+
+def test_documents_are_scored_a_part_at_a_time(spark, monkeypatch):
+    written = []
+    real = katz.materialize
+    monkeypatch.setattr(katz, "materialize", lambda df, name, *a: written.append((name, real(df, name, *a))) or written[-1][1])
+    rows = [(i, f"w{i % 7} w{i % 5} w{i}") for i in range(40)] + [(None, "w1 w2"), (None, "w1 w2"), (3, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = katz.evaluate(docs, katz.train(docs)).select("doc_id").collect()
+    first = [df.count() for name, df in written if name == "scores"]
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert len(first) == katz.SCORED_IN - 1 and 0 < sum(first) < len(rows)
