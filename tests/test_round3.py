@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import retrieve
+from tessera.operators import mapping, retrieve
 from tessera.sources import writers
 
 
@@ -44,3 +44,24 @@ def test_top_k_multiplies_few_rows_in_double_precision(monkeypatch):
     odd[3, 0], odd[4, 1] = np.nan, np.inf
     left = retrieve._best(ids, rows[ids], own, odd, 5, True)
     assert len(left) >= 4 * len(ids) and not left["item_id"].isin([3, 4]).any()
+
+
+def test_candidates_of_kinds_are_those_of_all_pairs(spark):
+    """What a query knows by its kind, against the same listed pair by pair."""
+    codes = ["1.2.3", "1.2.3.4", "2.3.4", "1.2"]
+    q = spark.createDataFrame([(i, [codes[i % 3]], i % 3) for i in range(12)], "query_no long, ecs array<string>, kind int")
+    t = spark.createDataFrame([(i, [codes[i % 4], codes[i // 4 % 4]], i % 3) for i in range(90)], "item_no long, ecs array<string>, kind int")
+    known = q.select("query_no", "kind").join(t.select("item_no", "kind"), "kind").select("query_no", "item_no")
+    want = {tuple(r) for r in mapping.code_candidates(q.drop("kind"), t.drop("kind"), known, 5).collect()}
+    assert {tuple(r) for r in mapping.code_candidates(q, t, None, 5).collect()} == want and len(want) == 60
+    i = F.col("item_no")
+    scored = t.select("kind", "item_no", (i % 7 / 7.0).alias("first"), (i % 11 / 11.0).alias("second"))
+    extra = spark.createDataFrame([(n, 1000 + n, 0.0, n / 9.0, True) for n in range(12)], "query_no long, item_no long, first double, second double, extra boolean")
+    bonus = F.when(i % 4 == 0, 0.15).otherwise(0.0)
+
+    def ranked(cands):
+        plain = q.select("query_no", "kind").join(cands, "kind").select("query_no", "item_no", "first", "second", F.lit(False).alias("extra"))
+        return sorted((r["query_no"], r["rank"], r["item_no"], round(r["fused"], 12)) for r in mapping.fuse_candidates(plain.union(extra), 0.3, bonus).where("rank <= 6").collect())
+
+    few = mapping.of_kinds(scored, 0.3, bonus, 6)
+    assert ranked(few) == ranked(scored) and few.count() <= 3 * 10
