@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import mapping, retrieve
+from tessera.operators import mapping, modelmap, retrieve
 from tessera.sources import writers
 
 
@@ -65,3 +65,16 @@ def test_candidates_of_kinds_are_those_of_all_pairs(spark):
 
     few = mapping.of_kinds(scored, 0.3, bonus, 6)
     assert ranked(few) == ranked(scored) and few.count() <= 3 * 10
+
+
+def test_votes_of_neighbours_without_their_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(s), int(q)) for s, q in zip(rng.integers(0, 12, 70), rng.integers(0, 30, 70), strict=True)})
+    first = {q: q % 5 for q in range(0, 30) if q % 6}
+    members = spark.createDataFrame(rows, "set_id long, query_id long")
+    got = modelmap.neighbour_votes(members, spark.createDataFrame(list(first.items()), "query_id long, other long")).collect()
+    pairs = {(tuple(r)) for r in modelmap.co_members(members).collect()}
+    assert sorted(map(tuple, got)) == sorted({(q, first[n]) for q, n in pairs if n in first})
+    # a set of n queries is one row of its items for each of them, not n (n - 1) pairs
+    hub = spark.range(2000).select(F.lit(1).alias("set_id"), F.col("id").alias("query_id"))
+    assert modelmap.neighbour_votes(hub, hub.select("query_id", (F.col("query_id") % 3).alias("other"))).count() == 6000
