@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalar import hierarchy_match
 from tessera.operators import metrics
-from tessera.plans.stage import materialize
+from tessera.plans.stage import materialize, release
 
 #: What is tried for a weight, and the order in which axis pairs are.
 GRID = (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
@@ -135,6 +135,8 @@ def compare_runs(base: DataFrame, tuned: DataFrame, gold: DataFrame, codes: Data
 
     ``base``, ``tuned``: query_id, item_id, rank of the same queries; ``gold``: query_id, item_id of every fold.
     """
+    # each ranking and the gold are read once for every metric: written once, what ranks them runs once
+    base, tuned, gold = materialize(base, "base-ranks"), materialize(tuned, "tuned-ranks"), materialize(gold.select("query_id", "item_id").distinct(), "gold")
     b, t = materialize(per_query(base, gold, codes), "compared-base"), materialize(per_query(tuned, gold, codes), "compared-tuned")
     both = b.select("query_id", F.col("hits_10").alias("b")).join(t.select("query_id", F.col("hits_10").alias("t")), "query_id")
     gain = bootstrap_ci(both, "t", "b", n_boot, seed).select(F.round("delta", 4).alias("delta_hits10_vs_baseline"), *(F.round(c, 4).alias(c) for c in ("ci_low", "ci_high", "p_value")))
@@ -144,6 +146,7 @@ def compare_runs(base: DataFrame, tuned: DataFrame, gold: DataFrame, codes: Data
         means = df.agg(F.count("*").alias("n_test"), *(F.round(F.avg(m), 4).alias(m) for m in COMPARED))
         return means.select(F.lit(direction).alias("direction"), F.lit(split).alias("split"), "n_test", F.lit(model).alias("model"), *COMPARED).crossJoin(F.broadcast(extra))
 
+    release(base, tuned, gold)
     return row(b, "baseline", none).union(row(t, "tuned", gain))
 
 
